@@ -97,12 +97,12 @@ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array
 one AS (SELECT doc_id, unnest(s) AS g FROM sets),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach r JOIN both l ON r.b = l.a),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach r JOIN sides l ON r.b = l.a),
 least_id AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_id ON a = doc_id
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": _LINE_DEDUP}
+    return {"op2_near_duplicates": _NEAR_DUPLICATES, "op9_line_dedup": _LINE_DEDUP}
