@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm import wordbytes as wb
+from weekloom.llm.tables import arrow_map, ship
 
 
 class ItemBlock(NamedTuple):
@@ -135,7 +136,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in item_blocks(items, hashes=hashes):
-        found = source.mapInArrow(_searcher(block, threshold), schema)
+        found = arrow_map(source, _searcher(block, threshold), schema)
         out = found if out is None else out.union(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -157,6 +158,7 @@ def _searcher(block: ItemBlock, threshold: float):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, hashes: int = 48) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in which no item is found (see ``contained_items``)."""
+    ship(docs.sparkSession)
     for block in item_blocks(items, hashes=hashes):
         docs = docs.where(~F.pandas_udf(_holder(block, threshold), "boolean")(F.col("text").cast("string")))
     return docs

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.llm import wordbytes as wb
+from weekloom.llm.tables import arrow_map, ship
 
 #: Letter n-grams of 1 to this many characters, with one mark on either side of a word.
 LONGEST = 3
@@ -112,7 +113,7 @@ def fit_profiles(labelled: DataFrame, *, depth: int = 400, rows_per_lang: int =
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int32), depth)
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows_per_lang / n))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < rate[F.col("lang")] * 1_000_003).select("text", "lang")
-    counts = sample.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = arrow_map(sample, _gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("rank", rank).where(f"rank <= {int(depth)}").select("lang", "gram", "rank").toArrow().to_pydict()
     langs = sorted(sizes)
@@ -161,11 +162,12 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
                 pred, score = out_of_place(profiles, part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.last - part.first), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, *, min_score: float = 0.1) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a recognised language with at least ``min_score``."""
+    ship(docs.sparkSession)
     marked = F.pandas_udf(_recogniser(profiles, min_score), "boolean")
     return docs.where(marked(F.col("text").cast("string")))
 

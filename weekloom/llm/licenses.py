@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm import wordbytes as wb
+from weekloom.llm.tables import arrow_map
 
 # Wordings of public licenses and their usual notices.
 TEMPLATES = {
@@ -160,5 +161,5 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, *, mi
                     row, name, words, covered, low, high = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(row) + part.first)), pa.array(name), pa.array(words, pa.int64()), pa.array(covered, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["doc_id", "license", "template_words", "covered_words", "first_word", "last_word"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, template_words long, covered_words long, first_word long, last_word long")
+    out = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, license string, template_words long, covered_words long, first_word long, last_word long")
     return out.withColumn("coverage", F.round(F.col("covered_words") / F.col("template_words"), 6))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm import wordbytes as wb
+from weekloom.llm.tables import arrow_map
 from weekloom.llm.runs import RunEncoder
 
 MARK = "▁".encode()
@@ -256,4 +257,4 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
     kept, and an empty table gives an empty result. ``model_file`` must lie at
     the same path on every executor.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encoder(model_file), "doc_id long, ids array<int>, decoded string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _encoder(model_file), "doc_id long, ids array<int>, decoded string")

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` for functions of this package, which executors need not have installed."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark application."""
+    application = spark.sparkContext.applicationId
+    if _own.get("shipped") == application:
+        return
+    root = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="weekloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/weekloom_code.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(name)
+    _own["shipped"] = application
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weekloom.llm import files
 from weekloom.llm import wordbytes as wb
 from weekloom.llm.runs import RunEncoder
-from weekloom.llm.tables import materialize, new_path
+from weekloom.llm.tables import arrow_map, materialize, new_path
 
 MAGIC = b"WLTOKEN1"
 #: A select sample is kept for every this many values.
@@ -200,7 +200,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, *, end_id: int = 2, folder: s
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = materialize(ordered.mapInArrow(_writer(vocabulary, folder, end_id), "path string, first_doc long, n_docs long, n_ids long"), "manifest")
+    written = materialize(arrow_map(ordered, _writer(vocabulary, folder, end_id), "path string, first_doc long, n_docs long, n_ids long"), "manifest")
     rows, base = [], 0
     for r in sorted(written.collect(), key=lambda r: (r.first_doc is not None, r.first_doc or 0)):
         rows.append((r.path, r.first_doc, r.n_docs, r.n_ids, base))
@@ -230,4 +230,4 @@ def read_tokens(manifest: DataFrame, *, docs_per_read: int = 2000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.doc_ids(r["first"], last), pa.int64()), pa.array(at[:-1] + r["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     pieces = manifest.select("path", "n_docs", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(docs_per_read).cast("long"))).alias("first"))
-    return pieces.repartition("path", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(pieces.repartition("path", "first"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm import files
-from weekloom.llm.tables import materialize, new_path
+from weekloom.llm.tables import arrow_map, materialize, new_path
 
 BLOCK_LINES = 300
 #: Bytes of one archive file before the next is begun.
@@ -123,7 +123,7 @@ def write_archives(pages: DataFrame, *, folder: str | None = None, min_revisit_b
     firsts = source.where(F.col("page_id").isNotNull() & (bytes_ >= min_revisit_bytes)).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
     firsts = materialize(firsts, "firsts")
     joined = source.join(firsts, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(F.col("page_id").isNotNull(), F.col("first")))
-    return materialize(joined.mapInArrow(_archiver(folder, date), CAPTURES), "captures")
+    return materialize(arrow_map(joined, _archiver(folder, date), CAPTURES), "captures")
 
 
 def _indexer(folder: str, block_lines: int):
@@ -167,7 +167,7 @@ def write_index(captures: DataFrame, *, folder: str | None = None, block_lines:
     spark = captures.sparkSession
     folder = folder or new_path(spark, "index")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = captures.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(_indexer(folder, block_lines), "first binary, last binary, blocks string, directory string")
+    parts = arrow_map(captures.repartitionByRange(n, "key").sortWithinPartitions("key"), _indexer(folder, block_lines), "first binary, last binary, blocks string, directory string")
     return sorted((bytes(r.first), bytes(r.last), r.blocks, r.directory) for r in materialize(parts, "parts").collect())
 
 
@@ -251,5 +251,5 @@ def read_back(wanted: DataFrame, parts: list[tuple[bytes, bytes, str, str]]) ->
     Requests are sorted by key, so that a task meets few blocks. A request without a capture gives no row.
     """
     n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = wanted.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(_keys, "key binary, page_id long")
-    return keyed.repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(_reader(parts), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    keyed = arrow_map(wanted.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), _keys, "key binary, page_id long")
+    return arrow_map(keyed.repartitionByRange(n, "key").sortWithinPartitions("key"), _reader(parts), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
