@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weekloom.plans import binding, evaluation_queries, feature_queries, label_queries, panel_queries  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(binding.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(binding.ORACLES)
