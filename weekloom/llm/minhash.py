@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from weekloom.llm import wordbytes as wb
 from weekloom.llm.components import connected_components
-from weekloom.llm.tables import materialize
+from weekloom.llm.tables import arrow_map, materialize
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, left_half array<long>, right_half array<long>"
 SETS = "doc_id long, shingles array<long>"
@@ -85,7 +85,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     whatever their names. An empty table gives an empty result.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = materialize(source.mapInArrow(_sketches(half_tables, half_width, width, seed), SKETCH), "sketches")
+    sketches = materialize(arrow_map(source, _sketches(half_tables, half_width, width, seed), SKETCH), "sketches")
     same = ["n_shingles", "set_a", "set_b"]
     classes = materialize(sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
     of_class = sketches.select("doc_id", *same).join(classes, same, "left")
@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     stars = materialize(members.where("hub <> doc_id").select("hub", "doc_id").distinct(), "stars")
 
     wanted = materialize(stars.select("doc_id").union(stars.select("hub")).distinct(), "wanted")
-    sets = materialize(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), SETS), "sets")
+    sets = materialize(arrow_map(source.join(wanted, "doc_id", "left_semi"), _sets(width), SETS), "sets")
     close = F.expr(f"100 * common >= {int(threshold)} * (size_a + size_b - common)")
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -125,8 +125,10 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     shares = extras.join(common, ["a", "token"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
     reach = materialize(met.select("a", "b", "common", "size_b").join(shares, ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.col("size_b").alias("size"), (F.col("common") + F.coalesce("shared", F.lit(0))).alias("most")).where(f"100 * most >= {int(threshold)} * size"), "reach")
     able = materialize(live.join(reach, ["hub", "doc_id"]).select("key", "doc_id", "label", "size", "most"), "able")
+    # A pair meets in the smallest of the keys that it shares, and only there.
+    able = materialize(able.join(able.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "doc_id"), "able_keys")
     x, y = able.alias("x"), able.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * least(x.most, y.most) >= {int(threshold)} * (x.size + y.size - least(x.most, y.most))"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * least(x.most, y.most) >= {int(threshold)} * (x.size + y.size - least(x.most, y.most))") & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))"))
     more = compared(materialize(rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "rest")).where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     links = materialize(links.union(more).distinct(), "links")
     labels = connected_components(links)
