@@ -78,7 +78,7 @@ def bucket_weights(rows: DataFrame, target_ids: DataFrame, *, buckets: int) -> l
     return [log((t + 1) / n_target) - log((c + 1) / n_raw) for t, c in zip(target, raw, strict=True)]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 8192, target_rows: int = 20_000, threshold: float = -0.035, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 32_768, target_rows: int = 50_000, threshold: float = -0.1, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept for every row of ``docs`` (doc_id, text).
 
     score is the log-likelihood ratio between the trusted target's and the
@@ -87,6 +87,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 8192, ta
     document alike. base_failed: n_words < ``min_words`` or
     100 * n_repeat_words > ``max_repeat_percent`` * n_words.
 
+    The default threshold lies between clean and junk documents of corpora from
+    about ten thousand documents on; over a few hundred, unlabelled clean ones
+    score lower, as the target knows few of their n-grams.
+
     The target is fitted on a bounded sample: the documents with quality 1 in
     ``labels`` (doc_id, quality), at most ``target_rows`` ids, the first by hash.
     The corpus statistics cover every row. Null and empty texts have no words,
