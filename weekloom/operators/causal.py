@@ -266,3 +266,39 @@ def controlled_profile(window: DataFrame, y: str, group: Column, dummies: dict[s
     """Event-study regression: post period, group, their product, and dummies as controls."""
     rows = window.withColumns({"post": (c("event_time") >= 0).cast("double"), "treated": group.cast("double")} | {k: v.cast("double") for k, v in dummies.items()})
     return ols(rows.withColumn("did", c("post") * c("treated")), y, ["post", "treated", "did", *dummies])
+
+
+def ph_check(df: DataFrame, xs: list[str], *, time: str, event: str) -> DataFrame:
+    """Correlation of each predictor's Schoenfeld residuals with the rank of event time, and its p: far from 0 speaks against proportional hazards."""
+    from weekloom.functions.pvalues import t_two_sided
+    from weekloom.operators.statistics import average_ranks, safe_corr
+
+    beta = {r["predictor"]: r["coefficient"] for r in cox(df, xs, time=time, event=event).collect()}
+    rows = df.where(c(time) > 0).select(c(time).cast("double").alias("t"), c(event).alias("e"), *(c(x).cast("double").alias(x) for x in xs)).dropna()
+    w = F.exp(sum((c(x) * beta[x] for x in xs), F.lit(0.0)))
+    sums = rows.groupBy("t").agg(F.sum(w).alias("s"), *(F.sum(w * c(x)).alias(f"s_{x}") for x in xs))
+    down = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    means = sums.select("t", *((F.sum(f"s_{x}").over(down) / F.sum("s").over(down)).alias(f"m_{x}") for x in xs))
+    events = rows.where("e = 1")
+    ranks = average_ranks(events, "t").select("t", c("rank").alias("r"))
+    resid = events.join(means, "t").join(ranks, "t").select("r", *((c(x) - c(f"m_{x}")).alias(x) for x in xs))
+    one = resid.agg(F.count("*").alias("n"), *(safe_corr(x, "r").alias(x) for x in xs)).first()
+    out = []
+    for x in xs:
+        r, n = one[x], one["n"]
+        p = t_two_sided(r * ((n - 2) / max(1 - r * r, 1e-12)) ** 0.5, n - 2) if r is not None and n > 2 else None
+        out.append((x, r, p, n))
+    return df.sparkSession.createDataFrame(out, "predictor string, correlation double, p double, n_events long")
+
+
+def trough_lead(panel: DataFrame, turns: DataFrame, *, entity: str = "public_id", order: str = "week_idx", width: int = 12) -> DataFrame:
+    """Mean z paths of sales and customers around each entity's turn from fall to rise, and the weeks by which customers recover first."""
+    from weekloom.operators.panel import zscore_entity
+
+    events = turns.where((c("pre_slope") < 0) & (c("post_slope") > 0)).select(entity, c("split").alias("week"))
+    z = zscore_entity(panel, entity=entity).withColumnRenamed("z", "z_sales")
+    z = zscore_entity(z, entity=entity, value="customer").withColumnRenamed("z", "z_customers")
+    path = event_window(z, events, entity=entity, order=order, week="week", width=width).groupBy("event_time").agg(F.avg("z_sales").alias("sales"), F.avg("z_customers").alias("customers"), F.count("*").alias("n"))
+    after = lambda name: F.min(F.when((c("event_time") >= 0) & (c(name) >= 0), c("event_time")))
+    lead = path.agg((after("sales") - after("customers")).alias("customer_lead_weeks"))
+    return path.crossJoin(F.broadcast(lead))

@@ -300,3 +300,19 @@ def gaf_matrix(seq: DataFrame, *, entity: str = "public_id", array: str = "seq",
 def pct_change_lag(panel: DataFrame, *, entity: str = "public_id", order: str = "week_idx", value: str = "sales_card", lag: int = 4) -> DataFrame:
     before = F.lag(value, lag).over(Window.partitionBy(entity).orderBy(order))
     return panel.withColumn("pct_change", ratio(c(value) - before, before))
+
+
+def feat_window_var(rows: DataFrame, *, entity: str = "public_id", period: str = "date_id") -> DataFrame:
+    """The early matrix for windows of any length, keyed by spec and entity; entities with half of the window's weeks (2 at least).
+
+    ``rows`` are feature rows with spec_id, feat_start and feat_end. Thirds and quarters follow each spec's own number of weeks.
+    """
+    f = rows.withColumn("_x", F.floor(F.datediff(period, "feat_start") / 7)).withColumn("_weeks", F.floor(F.datediff("feat_end", "feat_start") / 7) + 1)
+    keys = ["spec_id", entity]
+    base = with_neighbours(_channels(f, [*keys, "_weeks"], "_x", as_ratio=True), keys, moving=(4, 8))
+    x, s, n = c("x"), c("s"), c("_weeks")
+    third, half, quarter = F.greatest(F.floor(n / 3), F.lit(2)), F.greatest(F.floor(n / 2), F.lit(1)), F.greatest(F.floor(n / 4), F.lit(1))
+    features = _core(x, s) | {"slope_1_3": slope_where(s, x, x < third), "slope_2_3": slope_where(s, x, (x >= third) & (x < 2 * third)), "slope_3_3": slope_where(s, x, x >= 2 * third), "slope_first_half": slope_where(s, x, x < half), "slope_second_half": slope_where(s, x, x >= half), "nc_first_q": F.avg(F.when(x < quarter, c("nc"))), "nc_last_q": F.avg(F.when(x >= n - quarter, c("nc")))}
+    features |= {f"ma{k}_slope": slope(c(f"ma{k}"), x) for k in (4, 8)} | {f"ma{k}_std": F.stddev_pop(f"ma{k}") for k in (4, 8)} | {f"vol_w{k}": F.avg(f"sd{k}") / (F.avg(s) + 1e-9) for k in (4, 8)} | {"n_feat_weeks": F.count(s), "_w": F.first("_weeks")}
+    out = base.groupBy(*keys).agg(*(v.alias(k) for k, v in features.items())).where(c("n_feat_weeks") >= F.greatest(F.ceil(0.5 * c("_w")), F.lit(2))).drop("_w")
+    return out.withColumns({"slope_accel": c("slope_3_3") - c("slope_1_3"), "slope_half_diff": c("slope_second_half") - c("slope_first_half"), "nc_delta": c("nc_last_q") - c("nc_first_q")}).fillna(0.0)

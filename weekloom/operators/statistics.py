@@ -116,3 +116,25 @@ def bootstrap_interval(df: DataFrame, value: str, *, key: str, replicates: int =
     means = rows.withColumn("w", weight).groupBy("rep").agg(ratio(F.sum(c("w") * c(value)), F.sum("w")).alias("m"))
     q = F.percentile("m", F.array(F.lit(low), F.lit(0.5), F.lit(high)))
     return means.agg(q.alias("q")).select(c("q")[0].alias("low"), c("q")[1].alias("median"), c("q")[2].alias("high"))
+
+
+def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> float:
+    """AMI of two labelings (arithmetic mean): the expected information of random tables with the same margins is summed over the margins."""
+    from math import exp, lgamma, log
+
+    cells = df.groupBy(a, b).agg(F.count("*").alias("n")).collect()  # a row for each pair of labels
+    rows, cols = {}, {}
+    for x, y, n in cells:
+        rows[x], cols[y] = rows.get(x, 0) + n, cols.get(y, 0) + n
+    total = sum(rows.values())
+    entropy = lambda m: -sum(n / total * log(n / total) for n in m.values())
+    mi = sum(n / total * log(n * total / (rows[x] * cols[y])) for x, y, n in cells)
+    expected = 0.0
+    f = lambda k: lgamma(k + 1)
+    for p in rows.values():
+        for q in cols.values():
+            for n in range(max(1, p + q - total), min(p, q) + 1):
+                chance = f(p) + f(q) + f(total - p) + f(total - q) - f(total) - f(n) - f(p - n) - f(q - n) - f(total - p - q + n)
+                expected += n / total * log(n * total / (p * q)) * exp(chance)
+    top = (entropy(rows) + entropy(cols)) / 2 - expected
+    return 1.0 if abs(top) < 1e-15 else (mi - expected) / top

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekloom.plans import binding, causal_queries, district_queries, evaluation_queries, feature_queries, label_queries, model_queries, panel_queries  # noqa: F401
+from weekloom.plans import binding, causal_queries, district_queries, evaluation_queries, feature_queries, label_queries, model_queries, more_queries, panel_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
