@@ -18,7 +18,9 @@ def scores(s, d):
     return rows.withColumn("score", (c("n_chars") % 1000) / 1000.0)
 
 
-TOXIC = c("toxic") == 1
+def toxic():
+    return c("toxic") == 1
+
 _AVG_RANK = "(rank() OVER ({o}) + rank() OVER ({o}) + count(*) OVER ({p}) - 1) / 2.0::DOUBLE"
 
 
@@ -36,12 +38,12 @@ def _(s, d):
 @query("test_mannwhitney", f"""WITH {_S}, r AS (SELECT t, (2 * rank() OVER (ORDER BY score) + count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM s), u AS (SELECT count(*) FILTER (WHERE t) AS n1, count(*) FILTER (WHERE NOT t) AS n2, sum(r) FILTER (WHERE t) AS w FROM r), ti AS (SELECT sum(n ** 3 - n) AS ties FROM (SELECT count(*)::DOUBLE AS n FROM s GROUP BY score))
 SELECT n1, n2, round(w - n1 * (n1 + 1) / 2.0, 6) AS u, round((w - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM u, ti""")
 def _(s, d):
-    return st.mann_whitney(scores(s, d), "score", TOXIC)
+    return st.mann_whitney(scores(s, d), "score", toxic())
 
 
 @query("test_welch_t", f"WITH {_S}, m AS (SELECT avg(score) FILTER (WHERE t) - avg(score) FILTER (WHERE NOT t) AS d, var_samp(score) FILTER (WHERE t) / count(*) FILTER (WHERE t) AS a, var_samp(score) FILTER (WHERE NOT t) / count(*) FILTER (WHERE NOT t) AS b, count(*) FILTER (WHERE t) AS n, count(*) FILTER (WHERE NOT t) AS k FROM s) SELECT round(d, 6) AS difference, round(d / sqrt(a + b), 6) AS t, round((a + b) ** 2 / (a * a / (n - 1) + b * b / (k - 1)), 6) AS df FROM m")
 def _(s, d):
-    return st.welch_t(scores(s, d), "score", TOXIC)
+    return st.welch_t(scores(s, d), "score", toxic())
 
 
 @query("test_paired_t", "SELECT count(*) AS n, round(avg(l - e), 6) AS mean, round(avg(l - e) / (stddev_samp(l - e) / sqrt(count(*))), 6) AS t FROM (SELECT public_id, avg(sales_card_mm) FILTER (WHERE week_idx < 10) AS e, avg(sales_card_mm) FILTER (WHERE week_idx BETWEEN 20 AND 29) AS l FROM panel GROUP BY 1)", tables="p")
@@ -136,7 +138,7 @@ def _(s, d):
 
 @query("eval_auc", f"WITH {_S}, r AS (SELECT t, (2 * rank() OVER (ORDER BY score) + count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s), q AS (SELECT count(*) FILTER (WHERE t)::DOUBLE AS p, count(*) FILTER (WHERE NOT t)::DOUBLE AS n, sum(r) FILTER (WHERE t)::DOUBLE AS w FROM r) SELECT round((w - p * (p + 1) / 2) / (p * n), 6) AS auc FROM q")
 def _(s, d):
-    return ev.auc(scores(s, d), "score", TOXIC)
+    return ev.auc(scores(s, d), "score", toxic())
 
 
 @query("eval_regression", "WITH e AS (SELECT public_id, sales_card AS y, trend AS p, avg(sales_card) OVER (PARTITION BY public_id) AS b FROM panel) SELECT count(*) AS n, round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg((y - p) ** 2)), 4) AS rmse, round(1 - avg((y - p) ** 2) / var_pop(y), 4) AS r2, round(sum(abs(y - p)) / sum(abs(y)), 4) AS wape, round(100 * (1 - avg(abs(y - p)) / avg(abs(y - b))), 4) AS mae_reduction_pct FROM e", tables="p", digits=4)
@@ -152,12 +154,12 @@ _OP = f"""{_S}, h AS (SELECT i, CAST(round(i * 0.05, 2) AS DOUBLE) AS threshold
 
 @query("ews_operating_points", f"WITH {_OP} SELECT threshold, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 6) AS f1, round((tp + fp) / (tp + fp + fn + tn)::DOUBLE, 6) AS flagged FROM o")
 def _(s, d):
-    return ev.operating_points(scores(s, d), "score", TOXIC)
+    return ev.operating_points(scores(s, d), "score", toxic())
 
 
 @query("ews_cost", f"WITH {_OP}, u AS (SELECT scenario, threshold, tp * b - fp * k - fn * m AS utility FROM o, (VALUES ('low', 6, 3, 8), ('base', 10, 2, 8), ('high', 12, 1, 10)) v(scenario, b, k, m)) SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY utility DESC, threshold) = 1 AS is_best FROM u")
 def _(s, d):
-    return ev.cost_scenarios(ev.operating_points(scores(s, d), "score", TOXIC), [("low", 6, 3, 8), ("base", 10, 2, 8), ("high", 12, 1, 10)])
+    return ev.cost_scenarios(ev.operating_points(scores(s, d), "score", toxic()), [("low", 6, 3, 8), ("base", 10, 2, 8), ("high", 12, 1, 10)])
 
 
 _EDGES = ", ".join(f"quantile_cont(score, {i / 10})" for i in range(1, 10))
@@ -165,22 +167,22 @@ _EDGES = ", ".join(f"quantile_cont(score, {i / 10})" for i in range(1, 10))
 
 @query("ews_calibration", f"WITH {_S}, b AS (SELECT *, 1 + len(list_filter((SELECT list_distinct([{_EDGES}]) FROM s), lambda e: score > e)) AS bin FROM s) SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(score), 6) AS predicted, round(avg(toxic), 6) AS observed, CAST(sum(toxic) AS BIGINT) AS cases, round(avg(toxic) - avg(score), 6) AS gap, round(sum(toxic) / (SELECT sum(toxic) FROM s)::DOUBLE, 6) AS capture FROM b GROUP BY 1")
 def _(s, d):
-    return ev.calibration_deciles(scores(s, d), "score", TOXIC)
+    return ev.calibration_deciles(scores(s, d), "score", toxic())
 
 
 @query("ews_reliability", f"WITH {_S} SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(score), 6) AS predicted, round(avg(toxic), 6) AS observed FROM s GROUP BY 1")
 def _(s, d):
-    return ev.reliability(scores(s, d), "score", TOXIC)
+    return ev.reliability(scores(s, d), "score", toxic())
 
 
 @query("ews_brier_ap", f"WITH {_S}, a AS (SELECT score, sum(toxic) AS a FROM s GROUP BY 1), z AS (SELECT a, (SELECT count(*) FROM s x WHERE x.score >= a.score) AS seen, (SELECT sum(toxic) FROM s x WHERE x.score >= a.score) AS hits FROM a WHERE a > 0) SELECT (SELECT round(avg((score - toxic) ** 2), 6) FROM s) AS brier, (SELECT round(avg(toxic), 6) FROM s) AS base_rate, round(sum(a * hits / seen::DOUBLE) / sum(a), 6) AS average_precision FROM z")
 def _(s, d):
-    return ev.brier_ap(scores(s, d), "score", TOXIC)
+    return ev.brier_ap(scores(s, d), "score", toxic())
 
 
 @query("ews_top_decile", f"WITH {_S}, q AS (SELECT quantile_cont(score, 0.9) AS q FROM s) SELECT count(*) FILTER (WHERE score >= q) AS n_top, round(avg(toxic) FILTER (WHERE score >= q), 6) AS top_rate, round(avg(toxic), 6) AS base_rate, round(avg(toxic) FILTER (WHERE score >= q) / avg(toxic), 6) AS lift FROM s, q")
 def _(s, d):
-    return ev.top_decile(scores(s, d), "score", TOXIC)
+    return ev.top_decile(scores(s, d), "score", toxic())
 
 
 @query("ews_segment", f"WITH {_S} SELECT source, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(stddev_samp(score), 6) AS sd FROM s GROUP BY 1 HAVING count(*) >= 15 ORDER BY avg(score) DESC, source LIMIT 8")
