@@ -160,18 +160,16 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0
     """The rows of ``docs``, all columns as they are, in which no item is found (see ``contained_items``)."""
     ship(docs.sparkSession)
     for block in item_blocks(items, hashes=hashes):
-        docs = docs.where(~F.pandas_udf(_holder(block, threshold), "boolean")(F.col("text").cast("string")))
+        docs = docs.where(~F.arrow_udf(_holder(block, threshold), "boolean")(F.col("text").cast("string")))
     return docs
 
 
 def _holder(block: ItemBlock, threshold: float):
-    import pandas as pd
-
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pa.Array) -> pa.Array:
         held = np.zeros(len(texts), bool)
-        for part in wb.slices(pa.array(texts, type=pa.large_string(), from_pandas=True)):
+        for part in wb.slices(texts):
             held[part.first + find_items(block, part, threshold)[0]] = True
-        return pd.Series(held)
+        return pa.array(held)
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return run

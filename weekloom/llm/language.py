@@ -17,6 +17,8 @@ from weekloom.llm.tables import arrow_map, ship
 #: Letter n-grams of 1 to this many characters, with one mark on either side of a word.
 LONGEST = 3
 _MARK = 1
+#: A slice's n-grams take some two hundred bytes for each of its bytes.
+SLICE_BYTES = 1 << 18
 
 
 class Profiles(NamedTuple):
@@ -89,7 +91,7 @@ def ranked_grams(part: wb.Slice, depth: int | None) -> tuple[np.ndarray, np.ndar
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), dtype=object)
-        for part in wb.slices(batch.column(0)):
+        for part in wb.slices(batch.column(0), SLICE_BYTES):
             owner, gram, count, _, _ = ranked_grams(part, None)
             names, which = np.unique(langs[part.first : part.last].astype(str), return_inverse=True)
             for k, name in enumerate(names):
@@ -158,7 +160,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in wb.slices(batch.column(1)):
+            for part in wb.slices(batch.column(1), SLICE_BYTES):
                 pred, score = out_of_place(profiles, part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.last - part.first), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -168,20 +170,17 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 def keep_identified(docs: DataFrame, profiles: Profiles, *, min_score: float = 0.1) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a recognised language with at least ``min_score``."""
     ship(docs.sparkSession)
-    marked = F.pandas_udf(_recogniser(profiles, min_score), "boolean")
+    marked = F.arrow_udf(_recogniser(profiles, min_score), "boolean")
     return docs.where(marked(F.col("text").cast("string")))
 
 
 def _recogniser(profiles: Profiles, min_score: float):
-    import pandas as pd
-
-    def run(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, type=pa.large_string(), from_pandas=True)
+    def run(texts: pa.Array) -> pa.Array:
         out = [np.zeros(0, bool)]
-        for part in wb.slices(column):
+        for part in wb.slices(texts, SLICE_BYTES):
             pred, score = out_of_place(profiles, part)
             out.append((np.array(pred, dtype=object) != "und") & (score >= min_score))
-        return pd.Series(np.concatenate(out))
+        return pa.array(np.concatenate(out))
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return run

@@ -232,7 +232,7 @@ def piece_table(model_file: str) -> PieceTable:
     return PieceTable(model_file)
 
 
-def _encoder(model_file: str, limit: int = 4 << 20):
+def _encoder(model_file: str, limit: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model_file)
         for batch in batches:
