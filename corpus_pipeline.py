@@ -21,10 +21,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; a document of which nothing stays goes. n_chars follows the text."""
-    shorter = linefreq.drop_boilerplate(docs.withColumn("_wl_before", F.col("text")))
+    """Documents without the boilerplate lines of their source; n_chars follows the text.
+
+    Copies of a text count as one page of their source. A document of which
+    nothing but white space would stay keeps its whole text: if its lines are
+    those of many near copies, near-dedup keeps one of them.
+    """
+    shorter = linefreq.drop_boilerplate(docs.withColumn("_wl_before", F.col("text")), distinct_texts=True)
+    shorter = shorter.withColumn("text", F.when(linefreq.is_blank("text"), F.col("_wl_before")).otherwise(F.col("text")))
     changed = F.col("text") != F.col("_wl_before")
-    return shorter.where(~changed | (F.col("text") != "") | F.col("text").isNull()).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_wl_before")
+    return shorter.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_wl_before")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
