@@ -62,8 +62,8 @@ def parsed(docs: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def bucket_weights(rows: DataFrame, target_ids: DataFrame, *, buckets: int) -> list[float]:
-    """Log-likelihood ratio of each n-gram bucket: target share over corpus share, add-one smoothed.
+def bucket_counts(rows: DataFrame, target_ids: DataFrame, *, buckets: int) -> tuple[list[int], list[int]]:
+    """How often each n-gram bucket is in the corpus, and in the target.
 
     Every row of the corpus counts; only ``buckets`` rows of counts reach the driver.
     """
@@ -74,11 +74,14 @@ def bucket_weights(rows: DataFrame, target_ids: DataFrame, *, buckets: int) -> l
     raw, target = [0] * buckets, [0] * buckets
     for r in counts:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    n_raw, n_target = sum(raw) + buckets, sum(target) + buckets
-    return [log((t + 1) / n_target) - log((c + 1) / n_raw) for t, c in zip(target, raw, strict=True)]
+    return raw, target
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 32_768, target_rows: int = 50_000, threshold: float = -0.1, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def _table(values: list[float]) -> Column:
+    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast("array<double>")
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 32_768, target_rows: int = 50_000, threshold: float = -0.1, min_words: int = 50, max_repeat_percent: int = 50, prior: int | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept for every row of ``docs`` (doc_id, text).
 
     score is the log-likelihood ratio between the trusted target's and the
@@ -87,9 +90,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 32_768,
     document alike. base_failed: n_words < ``min_words`` or
     100 * n_repeat_words > ``max_repeat_percent`` * n_words.
 
-    The default threshold lies between clean and junk documents of corpora from
-    about ten thousand documents on; over a few hundred, unlabelled clean ones
-    score lower, as the target knows few of their n-grams.
+    Without ``prior`` both are add-one smoothed, and over few documents
+    unlabelled clean ones score lower, as the target knows few of their n-grams.
+    With it, the target's counts are smoothed by ``prior`` n-grams dealt as in
+    the corpus, so that what a small target doesn't know counts little, and a
+    target document is scored without its own counts in the target.
 
     The target is fitted on a bounded sample: the documents with quality 1 in
     ``labels`` (doc_id, quality), at most ``target_rows`` ids, the first by hash.
@@ -101,13 +106,29 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = 32_768,
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     trusted = materialize(trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows), "trusted")
     rows = materialize(parsed(docs, buckets), "parsed")
-    weights = bucket_weights(rows, trusted, buckets=buckets)
-    table = F.split(F.lit(",".join(repr(w) for w in weights)), ",").cast("array<double>")
+    raw, target = bucket_counts(rows, trusted, buckets=buckets)
+    n_raw, n_target = sum(raw) + buckets, sum(target)
+    share = [(c + 1) / n_raw for c in raw]
+    smoothed = [t + 1 if prior is None else t + prior * p for t, p in zip(target, share, strict=True)]
+    total = n_target + (buckets if prior is None else prior)
+    table = _table([log(t / total) - log(p) for t, p in zip(smoothed, share, strict=True)])
 
     def ratio(name: str) -> Column:
         return F.aggregate(name, F.lit(0.0), lambda s, b: s + F.get(table, b))
 
     grams = F.size("word_bucket") + F.size("pair_bucket")
-    out = rows.withColumn("score", F.when(grams > 0, (ratio("word_bucket") + ratio("pair_bucket")) / grams).otherwise(0.0))
+    out, own = rows, F.lit(0.0)
+    if prior is not None:
+        out = rows.join(F.broadcast(trusted.withColumn("target", F.lit(True))), "doc_id", "left")
+        out = out.withColumn("sorted", F.when(F.col("target"), F.sort_array(F.concat("word_bucket", "pair_bucket"))))
+        ends = F.filter(F.transform("sorted", lambda b, i: F.when(F.coalesce(F.get(F.col("sorted"), i + 1) != b, F.lit(True)), i)), lambda x: x.isNotNull())
+        out = out.withColumn("ends", ends)
+        runs = F.transform("ends", lambda e, k: F.struct(F.get(F.col("sorted"), e).alias("b"), (e - F.coalesce(F.get(F.col("ends"), k - 1), F.lit(-1))).alias("n")))
+        counts = _table(smoothed)
+        without = F.aggregate(runs, F.lit(0.0), lambda s, r: s + r["n"] * F.log(1 - r["n"] / F.get(counts, r["b"])))
+        own = F.when(F.col("target"), without + grams * F.log(total / (total - grams))).otherwise(0.0)
+    out = out.withColumn("score", F.when(grams > 0, (ratio("word_bucket") + ratio("pair_bucket") + own) / grams).otherwise(0.0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.round("score", 9).alias("score"), (~failed & (F.col("score") >= threshold)).alias("kept"))
+    scored = out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.round("score", 9).alias("score"), (~failed & (F.col("score") >= threshold)).alias("kept"))
+    # Written with a prior, as a filter on the score that is moved before the sorted arrays would sort them once for each n-gram.
+    return scored if prior is None else materialize(scored, "scored")

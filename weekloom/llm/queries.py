@@ -20,7 +20,7 @@ def held_out_language() -> F.Column:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), prior=200_000)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
