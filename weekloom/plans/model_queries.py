@@ -44,7 +44,7 @@ def _(s, d):
 def _(s, d):
     import numpy as np
 
-    v = vectors(s, d).select("vec_id", F.slice("embedding", 1, 16).alias("embedding"))
+    v = vectors(s, d).select("vec_id", "embedding")
     centres = np.array([r[0] for r in v.orderBy("vec_id").select("embedding").limit(3).collect()], float)
     return op.assign(v, "embedding", centres, op.warping_distance, key="vec_id").groupBy("cluster").agg(F.count("*").alias("n"), F.avg("distance").alias("distance"))
 
