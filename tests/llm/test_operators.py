@@ -332,31 +332,3 @@ def test_boilerplate_lines_go(spark, odd, nothing):
     assert joined == got
     assert linefreq.drop_boilerplate(odd).columns == odd.columns and linefreq.drop_boilerplate(nothing).count() == 0
     assert linefreq.drop_boilerplate(odd).exceptAll(odd).count() == 0
-
-
-def test_language_model_base_counts_and_normalisation(spark, documents, odd, nothing):
-    rows = documents.select("doc_id", "text").union(odd.select(F.col("doc_id") + 5000, "text").where("doc_id IS NOT NULL").distinct())
-    got = {r.doc_id: r for r in neurallm.lm_scores(rows, steps=200).collect()}
-    tokens = {i: [*split(lower(t)), "\0"] for i, t in map(tuple, rows.collect())}
-    out = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 == 2}
-    c = Counter(w for i, t in tokens.items() if i not in out for w in t)
-    n, v = sum(c.values()), len(c)
-    for i, t in tokens.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in out, len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), abs=1e-6)
-    held = [got[i] for i in out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert neurallm.lm_scores(nothing, steps=5).count() == 0
-
-
-def test_language_model_probabilities_sum_to_one(spark, documents):
-    train = documents.select("text")
-    table, counts = neurallm.count_words(train)
-    model = neurallm.train_model(train, counts, steps=50)
-    assert np.allclose((10 ** model.log_probabilities()).sum(-1), 1)
-    units = set(counts.units.tolist())
-    others = [r.n for r in table.collect() if r.word not in units]
-    total = sum(others)
-    assert sum((n + 1) / (total + len(others) + 1) for n in [*others, 0]) == pytest.approx(1)
-    assert total == counts.tokens - counts.unit_tokens

@@ -16,10 +16,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder of this process only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder of this process, on a local master only.
+
+    On a cluster, executors don't share the driver's folders, so an unset setting is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="weekloom-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -35,7 +40,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._weekloom_path = path
+    return table
+
+
+def discard(kept: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Delete tables of ``materialize`` after their last reader; returns ``kept``, which must not read them."""
+    spark = kept.sparkSession
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._weekloom_path).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return kept
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
