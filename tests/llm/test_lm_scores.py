@@ -59,7 +59,7 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     rows = [m.context.astype(float), m.unit.astype(float), m.group.astype(float), m.places.astype(float)]
 
     def probability(before, unit):
-        guess = sum((rows[0][b, :-1] @ rows[3][k * 24 : (k + 1) * 24, :-1] for k, b in enumerate(before)), np.zeros(24))
+        guess = sum((rows[0][b, :-1] @ rows[3][k * 16 : (k + 1) * 16, :-1] for k, b in enumerate(before)), np.zeros(16))
         classes = [math.exp(g[:-1] @ guess + g[-1]) for g in rows[2]]
         c = m.class_of[unit]
         inside = {u: math.exp(rows[1][u, :-1] @ guess + rows[1][u, -1]) for u in range(v.units) if m.class_of[u] == c}

@@ -73,7 +73,7 @@ class LogBilinear(NamedTuple):
     members: np.ndarray
 
     def guess(self, before: np.ndarray) -> np.ndarray:
-        return self.context[before, :-1].reshape(len(before), -1) @ self.places[:, :-1]
+        return self.context.take(before, axis=0)[..., :-1].reshape(len(before), -1) @ self.places[:, :-1]
 
     def log_probabilities(self, before: np.ndarray, units: np.ndarray, block: int = 1 << 15) -> np.ndarray:
         """log10 of the probability of each unit after the units ``before`` it (nearest first), by matrix products for each class."""
@@ -83,23 +83,33 @@ class LogBilinear(NamedTuple):
             mine = units[low : low + block]
             guess = self.guess(before[low : low + block])
             kind = self.class_of[mine]
-            score = guess @ self.group[:, :-1].T + self.group[:, -1]
-            total = score[np.arange(len(mine)), kind].astype(np.float64) - _log_sum(score)
+            total = np.empty(len(mine))
+            for a in range(0, len(mine), 4096):  # as many as a core's cache holds
+                here = slice(a, a + 4096)
+                score = guess[here] @ self.group[:, :-1].T
+                score += self.group[:, -1]
+                total[here] = score[np.arange(len(score)), kind[here]]
+                total[here] -= _log_sum(score)
             order = np.argsort(kind, kind="stable")
             edge = np.searchsorted(kind[order], np.arange(len(self.group) + 1))
             for c in np.flatnonzero(np.diff(edge)):
                 at = order[edge[c] : edge[c + 1]]
                 rows = padded[self.members[c]]
-                score = guess[at] @ rows[:, :-1].T + rows[:, -1]
+                score = guess.take(at, axis=0) @ rows[:, :-1].T
+                score += rows[:, -1]
                 place = np.searchsorted(self.members[c], mine[at])
-                total[at] += score[np.arange(len(at)), place] - _log_sum(score)
+                total[at] += score[np.arange(len(at)), place]
+                total[at] -= _log_sum(score)
             out[low : low + block] = total / np.log(10)
         return out
 
 
 def _log_sum(score: np.ndarray) -> np.ndarray:
+    """Logs of the sums of exponentials of rows; overwrites the scores."""
     top = score.max(axis=1, keepdims=True)
-    return np.log(np.exp(score - top).sum(axis=1)) + top[:, 0]
+    score -= top
+    np.exp(score, out=score)
+    return np.log(score.sum(axis=1)) + top[:, 0]
 
 
 def _tails(part: wb.Slice, w: wb.Words) -> np.ndarray:
@@ -212,20 +222,23 @@ def _encoder(v: Vocabulary):
 
 def _with_places(column: pa.Array, units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens of rows, the ``PLACES`` units before each (nearest first; ``units`` is the start), and their rows."""
-    sizes = np.array([len(x) // 2 for x in column.to_pylist()], np.int64)
-    tokens = np.frombuffer(b"".join(column.to_pylist()), np.uint16)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // 2
+    tokens = np.frombuffer(data, np.uint16)[at[0] : at[-1]]
+    sizes, first = np.diff(at), at[:-1] - at[0]
     row = np.repeat(np.arange(len(sizes)), sizes)
-    place = wb.spread(np.zeros(len(sizes), np.int64), sizes)
     before = np.full((len(tokens), PLACES), units, np.uint16)
     for k in range(PLACES):
-        far = np.flatnonzero(place > k)
-        before[far, k] = tokens[far - k - 1]
+        before[k + 1 :, k] = tokens[: -k - 1]
+    for k in range(PLACES):  # the first tokens of a row have none before it; every row has an end
+        early = (first + k)[sizes > k]
+        before[early, k:] = units
     return tokens, before, row
 
 
 def _portions(column: pa.Array, limit: int) -> Iterator[pa.Array]:
     """Runs of rows of about ``limit`` bytes; a longer row is a run of its own."""
-    offsets = np.r_[0, np.cumsum([len(x) for x in column.to_pylist()])] if len(column) else np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     first = 0
     while first < len(column):
         last = min(max(int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1, first + 1), len(column))
@@ -242,13 +255,14 @@ class _Step:
         self.met = np.zeros(len(table), np.float32)
 
     def rows(self, row: np.ndarray, grad: np.ndarray, weight: float = 1.0) -> None:
-        """Add the gradients of rows that may repeat."""
+        """Add the gradients of rows that may repeat; without a column for the bias, it stays."""
         order = np.argsort(row, kind="stable")
         ordered = row[order]
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        at, total = ordered[first], np.add.reduceat(grad[order], first, axis=0)
+        at, total = ordered[first], np.add.reduceat(grad.take(order, axis=0), first, axis=0)
         self.seen[at] += np.einsum("rd,rd->r", total, total) / total.shape[1]
-        self.table[at] += self.rate * total / np.sqrt(self.seen[at])[:, None]
+        total *= (self.rate / np.sqrt(self.seen[at]))[:, None]
+        self.table[at, : total.shape[1]] += total
         self.met[at] += weight * np.diff(np.r_[first, len(row)])
 
 
@@ -267,20 +281,28 @@ def _trainer(model: LogBilinear, share: np.ndarray, with_classes: bool, *, noise
 
         def errors(step: _Step, log_share: np.ndarray, guess: np.ndarray, true: np.ndarray, false: np.ndarray) -> np.ndarray:
             """One contrastive step of groups (group, token) against each group's noise; returns the guesses' gradient."""
-            up, down = step.table[true], step.table[false]
+            up, down = (step.table.take(x, axis=0) for x in (true, false))
+            np.negative(down, out=down)
             log_noise = log_share + np.float32(np.log(false.shape[1]))
-            good = np.einsum("gbd,gbd->gb", guess, up[..., :-1]) + up[..., -1] - log_noise[true]
-            good = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-            bad = guess @ down[..., :-1].transpose(0, 2, 1)
-            bad += (down[..., -1] - log_noise[false])[:, None, :]
-            np.clip(bad, -30, 30, out=bad)
-            np.exp(np.negative(bad, out=bad), out=bad)
-            bad += 1
-            np.divide(-1, bad, out=bad)
-            d_guess = good[..., None] * up[..., :-1] + bad @ down[..., :-1]
-            d_up = np.concatenate([good[..., None] * guess, good[..., None]], axis=2)
-            d_down = np.concatenate([bad.transpose(0, 2, 1) @ guess, bad.sum(axis=1)[..., None]], axis=2)
-            step.rows(np.r_[true.ravel(), false.ravel()], np.vstack([d_up.reshape(-1, dims + 1), d_down.reshape(-1, dims + 1)]))
+            with np.errstate(over="ignore"):  # the inverse of infinity is the zero it should be
+                good = np.einsum("gbd,gbd->gb", guess, up[..., :-1]) + up[..., -1] - log_noise[true]
+                good = 1 / (1 + np.exp(good))
+                bad = guess @ down[..., :-1].transpose(0, 2, 1)
+                bad += (down[..., -1] + log_noise[false])[:, None, :]
+                np.exp(bad, out=bad)
+                bad += 1
+                np.divide(-1, bad, out=bad)
+            d_guess = good[..., None] * up[..., :-1] - bad @ down[..., :-1]
+            d_up, d_down = np.empty_like(up), np.empty_like(down)
+            np.multiply(good[..., None], guess, out=d_up[..., :-1])
+            d_up[..., -1] = good
+            d_down[..., :-1] = bad.transpose(0, 2, 1) @ guess
+            bad.sum(axis=1, out=d_down[..., -1])
+            if false.shape == true.shape:  # the noise is the tokens themselves, rolled: their gradients meet before the sort
+                d_up += np.roll(d_down, (-1, -1), (0, 1))
+                step.rows(true.ravel(), d_up.reshape(-1, dims + 1))
+            else:
+                step.rows(np.r_[true.ravel(), false.ravel()], np.vstack([d_up.reshape(-1, dims + 1), d_down.reshape(-1, dims + 1)]))
             return d_guess
 
         trained = False
@@ -290,8 +312,8 @@ def _trainer(model: LogBilinear, share: np.ndarray, with_classes: bool, *, noise
                 order = draw.permutation(len(tokens))
                 for low in range(0, len(tokens), batch):
                     at = order[low : low + batch]
-                    true, near = tokens[at], before[at]
-                    seen = local.context[near, :-1].reshape(len(at), -1)
+                    true, near = tokens[at], before.take(at, axis=0)
+                    seen = local.context.take(near, axis=0)[..., :-1].reshape(len(at), -1)
                     guess = seen @ local.places[:, :-1]
                     d_guess = np.zeros_like(guess)
                     whole = len(at) // noise * noise
@@ -304,9 +326,8 @@ def _trainer(model: LogBilinear, share: np.ndarray, with_classes: bool, *, noise
                         false = np.minimum(np.searchsorted(stairs, draw.random(noise) * stairs[-1]), len(stairs) - 1).astype(np.uint16)
                         d_guess += errors(steps[2], log_group, guess[None], local.class_of[true].astype(np.uint16)[None], false[None])[0]
                     d_seen = (d_guess @ local.places[:, :-1].T).reshape(-1, dims)
-                    steps[0].rows(near.ravel(), np.c_[d_seen, np.zeros(len(d_seen), np.float32)])
-                    d_places = np.c_[seen.T @ d_guess, np.zeros(len(local.places), np.float32)]
-                    steps[3].rows(np.arange(len(d_places)), d_places, len(at))
+                    steps[0].rows(near.ravel(), d_seen)
+                    steps[3].rows(np.arange(len(local.places)), seen.T @ d_guess, len(at))
                     trained = trained or len(at) > 0
         if trained:
             change = np.vstack([new - old for new, old in zip(local[:4], model[:4], strict=True)])
@@ -368,7 +389,7 @@ def _classes(unit: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return class_of, members, group
 
 
-def train_model(rows: DataFrame, v: Vocabulary, *, size: int = 24, noise: int = 128, batch: int = 2048, rate: float = 0.2, passes: int = 1, seed: int = 5) -> LogBilinear:
+def train_model(rows: DataFrame, v: Vocabulary, *, size: int = 16, noise: int = 64, batch: int = 2048, rate: float = 0.2, passes: int = 1, seed: int = 5) -> LogBilinear:
     """Fit the log-bilinear model to ``rows`` (row, units) with noise-contrastive estimation.
 
     Every row is trained on once in each pass. Messages of the tasks have the
