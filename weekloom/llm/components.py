@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.tables import materialize
+from weekloom.llm.tables import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,8 +22,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
         best = labels.join(near, labels.node == near.src).select("node", "label", F.least("label", "near").alias("best"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        step = materialize(best.join(jump, best.best == jump.via, "left").select("node", F.least("best", F.coalesce("far", "best")).alias("label"), F.expr("least(best, coalesce(far, best)) < label").alias("moved")), "labels")
-        moved = step.where("moved").limit(1).count()
-        labels = step.select("node", "label")
-        if not moved:
-            return labels
+        step = best.join(jump, best.best == jump.via, "left").select("node", F.least("best", F.coalesce("far", "best")).alias("label"), F.expr("least(best, coalesce(far, best)) < label").alias("moved"))
+        labels = discard(materialize(step, "labels"), labels)
+        if not labels.where("moved").limit(1).count():
+            out = discard(labels.drop("moved"), both)
+            out._weekloom_path = labels._weekloom_path
+            return out

@@ -72,7 +72,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[Slice]:
+def slices(column: pa.Array, limit: int = 1 << 18) -> Iterator[Slice]:
     """Runs of whole rows of about ``limit`` bytes; a longer row is a slice of its own."""
     data, at = text_buffers(column)
     first = 0
