@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import ceil
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +24,7 @@ TEMPLATES = {
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    # a notice of rights, no license
     "all-rights-reserved": "All rights reserved.",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -35,13 +37,27 @@ APART = wb.SPACE.copy()
 APART[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+#: Where Debian systems keep whole license texts; a parameter of ``installed_templates``.
+LICENSE_FOLDER = "/usr/share/common-licenses"
+
+
+def installed_templates(folder: str = LICENSE_FOLDER) -> dict[str, str]:
+    """Whole license texts of a folder by file name; links are left out, and a folder that isn't there gives none."""
+    place = Path(folder)
+    return {f.name.lower(): f.read_text(errors="replace") for f in sorted(place.iterdir()) if f.is_file() and not f.is_symlink()} if place.is_dir() else {}
+
+
+def patience(a: list[int], b: list[int], at: list[int] | None = None, run: int = 3) -> list[tuple[int, int]]:
     """Aligned positions of two word sequences, rising in both.
 
     Words that occur once in either are candidates; the longest rising run of
-    them is kept, and the gaps between its words are aligned in the same way.
-    A gap without such words keeps its common start and end.
+    them is kept, and the gaps between its words are aligned in the same way. A
+    gap keeps its common start and end. Where it has no such words, as in two
+    copies of one text, the longest rising run of the n-grams of ``run`` words
+    that both have is kept. ``at`` gives the places of ``b`` in its text, if
+    words between were left out.
     """
+    at = list(range(len(b))) if at is None else at
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -59,6 +75,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         pairs = [(i, where[w]) for i, w in enumerate(a[a0:a1], a0) if count_a[w] == 1 and w in where]
         anchors = _longest_rising(pairs)
         if not anchors:
+            out += _gram_run(a, b, at, (a0, a1, b0, b1), run)
             continue
         out += anchors
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
@@ -66,6 +83,36 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _gram_run(a: list[int], b: list[int], at: list[int], gap: tuple[int, int, int, int], run: int) -> list[tuple[int, int]]:
+    """Words of the longest rising run of shared n-grams in a gap."""
+    a0, a1, b0, b1 = gap
+    places: dict[tuple[int, ...], list[int]] = {}
+    for j in range(b0, b1 - run + 1):
+        if at[j + run - 1] - at[j] == run - 1:
+            places.setdefault(tuple(b[j : j + run]), []).append(j)
+    # later places first, so that an n-gram meets one of its places at most
+    pairs = [(i, j) for i in range(a0, a1 - run + 1) for j in reversed(places.get(tuple(a[i : i + run]), ()))]
+    last, out = (-1, -1), []
+    for i, j in _longest_rising(pairs):
+        for k in range(run):
+            if i + k > last[0] and j + k > last[1]:
+                last = i + k, j + k
+                out.append(last)
+    return out
+
+
+def in_runs(pairs: list[tuple[int, int]], run: int) -> list[tuple[int, int]]:
+    """The aligned pairs that lie in stretches of ``run`` or more neighbours in both sequences."""
+    out: list[tuple[int, int]] = []
+    first = 0
+    for k in range(1, len(pairs) + 1):
+        if k == len(pairs) or pairs[k] != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
+            if k - first >= run:
+                out += pairs[first:k]
+            first = k
+    return out
+
+
 def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, given by rising first member, whose second members rise too."""
     tops: list[int] = []
@@ -90,24 +137,33 @@ class Template(NamedTuple):
     name: str
     words: list[int]
     vocabulary: np.ndarray
+    #: Words of a stretch that counts, at least.
+    run: int
+    #: Sorted distinct n-grams of that length, and the n-gram of each place.
+    grams: np.ndarray
+    gram_at: np.ndarray
 
 
-def make_templates(texts: dict[str, str]) -> list[Template]:
+def make_templates(texts: dict[str, str], run: int = 3) -> list[Template]:
     """Word hashes of the templates; one without words is left out."""
     out = []
     for name, text in texts.items():
-        h = wb.signed(wb.words(next(wb.slices(pa.array([text]))), apart=APART).hash)
-        if len(h):
-            out.append(Template(name, h.tolist(), np.unique(h)))
+        w = wb.words(wb.Slice(0, 1, raw := np.frombuffer(text.encode(), np.uint8), np.array([0, len(raw)])), apart=APART)
+        if len(w.hash):
+            width = min(run, len(w.hash))
+            gram = wb.ngrams(w, 1, width, whole_short=False)[1]
+            out.append(Template(name, wb.signed(w.hash).tolist(), np.unique(wb.signed(w.hash)), width, np.unique(gram), gram))
     return out
 
 
 def find_licenses(templates: list[Template], part: wb.Slice, min_coverage: float) -> list[tuple[int, str, int, int, int, int]]:
-    """(row, name, template words, words covered, first word, last word) of each template's best place in each text of a slice.
+    """(row, name, template words, words covered, first word, last word) of each template's alignment with each text of a slice.
 
-    Texts are searched in windows of twice a template's length, which start
-    every template length. A window with fewer words of the template than the
-    coverage asks for can't reach it and isn't aligned.
+    Whole texts are aligned, so anchors are unique in the text, and nothing
+    limits how far apart the parts of a license stand. Only stretches of three
+    or more words count (all words of a shorter template), so that common words
+    scattered over a long text make no license. A text whose n-grams of three
+    words can't cover enough of a template isn't aligned with it.
     """
     w = wb.words(part, apart=APART)
     h = wb.signed(w.hash)
@@ -116,29 +172,30 @@ def find_licenses(templates: list[Template], part: wb.Slice, min_coverage: float
     rows = part.last - part.first
     size = np.bincount(w.doc, minlength=rows)
     first = np.cumsum(size) - size
-    every = np.unique(np.concatenate([t.vocabulary for t in templates]))
-    place = np.minimum(np.searchsorted(every, h), len(every) - 1)
-    code = np.where(every[place] == h, place, len(every))
-    best: dict[tuple[int, str], tuple[int, int, int]] = {}
+    grams = {run: wb.ngrams(w, rows, run, whole_short=False) for run in {t.run for t in templates}}
+    out = []
     for t in templates:
-        n, need = len(t.words), max(1, ceil(min_coverage * len(t.words) - 1e-9))
-        mine = np.zeros(len(every) + 1, bool)
-        mine[np.searchsorted(every, t.vocabulary)] = True
-        hits = np.zeros(len(h) + 1, np.int64)
-        np.cumsum(mine[code], out=hits[1:])
-        windows = -(-size // n)
-        row = np.repeat(np.arange(rows), windows)
-        start = first[row] + n * wb.spread(np.zeros(rows, np.int64), windows)
-        stop = np.minimum(start + 2 * n, first[row] + size[row])
-        for k in np.flatnonzero(hits[stop] - hits[start] >= need):
-            low = int(start[k])
-            met = patience(t.words, h[low : int(stop[k])].tolist())
+        need = max(1, ceil(min_coverage * len(t.words) - 1e-9))
+        doc, value = grams[t.run]
+        place = np.minimum(np.searchsorted(t.grams, value), len(t.grams) - 1)
+        hit = t.grams[place] == value
+        pair = np.unique(doc[hit] * len(t.grams) + place[hit])
+        for row in np.unique(pair // len(t.grams)).tolist():
+            has = np.zeros(len(t.grams), bool)
+            has[pair[np.searchsorted(pair, row * len(t.grams)) : np.searchsorted(pair, (row + 1) * len(t.grams))] - row * len(t.grams)] = True
+            covered = np.zeros(len(t.words), bool)
+            shared = np.flatnonzero(has[np.searchsorted(t.grams, t.gram_at)])
+            for k in range(t.run):
+                covered[shared + k] = True
+            if covered.sum() < need:
+                continue
+            text = h[first[row] : first[row] + size[row]]
+            at = np.flatnonzero(np.isin(text, t.vocabulary))
+            places = at.tolist()
+            met = in_runs([(i, places[j]) for i, j in patience(t.words, text[at].tolist(), places, t.run)], t.run)
             if len(met) >= need:
-                key = (int(row[k]), t.name)
-                found = (len(met), -(low + met[0][1] - int(first[row[k]])), low + met[-1][1] - int(first[row[k]]))
-                best[key] = max(best.get(key, found), found)
-    length = {t.name: len(t.words) for t in templates}
-    return [(r, name, length[name], n, -a, b) for (r, name), (n, a, b) in sorted(best.items())]
+                out.append((row, t.name, len(t.words), len(met), met[0][1], met[-1][1]))
+    return sorted(out)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, *, min_coverage: float = 0.85) -> DataFrame:
@@ -146,9 +203,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, *, mi
 
     coverage is the share of a template's words that align in order with the
     text; words are runs without white space and ASCII punctuation, lower-cased
-    in A-Z. Of a template's places in a text, the one with the highest coverage
-    counts, at equal coverage the first; first_word and last_word are the word
-    numbers of its ends. Null and empty texts have none. Other columns are
+    in A-Z, in stretches of three words or more, however far apart. A text has
+    one alignment with a template; if it holds several copies, words that are
+    unique in the text decide, and where there are none, the copy that ends first.
+    first_word and last_word are the word numbers of the aligned ends. Null and
+    empty texts have none. Other columns are
     ignored, repeated rows give repeated results, and an empty table or no
     templates give an empty result. The templates are held by every task.
     """
