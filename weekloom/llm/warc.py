@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm import files
-from weekloom.llm.tables import arrow_map, materialize, new_path
+from weekloom.llm.tables import arrow_map, discard, materialize, new_path
 
 BLOCK_LINES = 300
+_BREAKS = re.compile(r"[\x00-\x20\x7f]")
 #: Bytes of one archive file before the next is begun.
 FILE_BYTES = 256 << 20
 
@@ -36,12 +38,17 @@ def url_key(url: str | None) -> str:
         parts = urlsplit(url.strip())
         host, port = (parts.hostname or "").rstrip("."), parts.port
     except ValueError:
-        return "-" + url.replace(" ", "%20")
+        return "-" + _escaped(url)
     host = host.removeprefix("www.")
     key = ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + (parts.path or "/")
     if parts.query:
         key += "?" + "&".join(sorted(parts.query.split("&")))
-    return key.replace(" ", "%20").replace("\n", "%0A").lower()
+    return _escaped(key).lower()
+
+
+def _escaped(key: str) -> str:
+    """White space and control characters, which would break a line of the index, as %XX."""
+    return _BREAKS.sub(lambda m: f"%{ord(m[0]):02X}", key)
 
 
 def capture_key(url: str | None, page_id: int | None) -> bytes:
@@ -49,14 +56,18 @@ def capture_key(url: str | None, page_id: int | None) -> bytes:
     return f"{url_key(url)} {'-' if page_id is None else f'{page_id + 2**63:020d}'}".encode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    head = [f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
+def _target(url: str | None) -> str:
+    return _escaped((url or "").strip())
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, *, record_id: str | None = None, refers_to_url: str | None = None) -> bytes:
+    head = [f"WARC-Record-ID: {record_id or f'<urn:page:{page_id}>'}", f"WARC-Date: {date}", f"WARC-Target-URI: {_target(url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if refers_to is None:
         kind, block = "response", http + payload
     else:
         kind, block = "revisit", http
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Refers-To-Target-URI: {_target(refers_to_url)}", f"WARC-Refers-To-Date: {date}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines = ["WARC/1.1", f"WARC-Type: {kind}", *head, f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -86,7 +97,7 @@ def _archiver(folder: str, date: str):
         uri, out, at = "", None, 0
         for batch in batches:
             keys, lines = [], []
-            for page_id, url, html, sha1, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, sha1, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None or at >= FILE_BYTES:
                     if out is not None:
                         out.close()
@@ -94,7 +105,10 @@ def _archiver(folder: str, date: str):
                     at = 0
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 payload = (html or "").encode()
-                packed = _gzip(record(page_id, url, payload, digest, first if first is not None and first != page_id else None, date))
+                # The response that others refer to has its page's name, all other records that of their place.
+                named = first is not None and first == page_id and first_url == url
+                record_id = None if named else f"<urn:page:{page_id}:{uri.rpartition('/')[2]}:{at}>"
+                packed = _gzip(record(page_id, url, payload, digest, first if first != page_id else None, date, record_id=record_id, refers_to_url=first_url))
                 out.write(packed)
                 keys.append(capture_key(url, page_id))
                 lines.append(json.dumps({"url": url, "digest": digest, "length": len(packed), "offset": at, "filename": uri}))
@@ -112,7 +126,8 @@ def write_archives(pages: DataFrame, *, folder: str | None = None, min_revisit_b
     The payload is html in UTF-8 (null: empty). Of equal payloads of at least
     ``min_revisit_bytes``, the record with the smallest page_id is a response
     and the others are revisits of it; smaller ones are all responses, and so
-    are rows with a null page_id. Repeated rows are archived each. Null URLs
+    are rows with a null page_id. Repeated rows are archived each. Record ids
+    are unique, but that rows equal in all three columns may share one. Null URLs
     have the key ``-``. Other columns are ignored; an empty table writes nothing.
     """
     spark = pages.sparkSession
@@ -120,10 +135,10 @@ def write_archives(pages: DataFrame, *, folder: str | None = None, min_revisit_b
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     source = source.withColumn("sha1", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     bytes_ = F.octet_length(F.coalesce("html", F.lit("")))
-    firsts = source.where(F.col("page_id").isNotNull() & (bytes_ >= min_revisit_bytes)).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-    firsts = materialize(firsts, "firsts")
-    joined = source.join(firsts, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(F.col("page_id").isNotNull(), F.col("first")))
-    return materialize(arrow_map(joined, _archiver(folder, date), CAPTURES), "captures")
+    firsts = source.where(F.col("page_id").isNotNull() & (bytes_ >= min_revisit_bytes)).groupBy("sha1").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialize(firsts.select("sha1", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "firsts")
+    joined = source.join(firsts, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(F.col("page_id").isNotNull(), F.col("first")).alias("first"), "first_url")
+    return discard(materialize(arrow_map(joined, _archiver(folder, date), CAPTURES), "captures"), firsts)
 
 
 def _indexer(folder: str, block_lines: int):
@@ -198,17 +213,23 @@ class CaptureIndex:
         rows = [x.split(b"\t", 1) for x in zlib.decompress(raw, 31).split(b"\n")[:-1]]
         return [r[0] for r in rows], [r[1] for r in rows]
 
-    def find(self, key: bytes) -> dict | None:
-        """The index line of a capture, the last one of equal keys; None if there is none."""
+    def find_all(self, key: bytes) -> list[dict]:
+        """The index lines of all captures with a key; equal keys lie in one part, maybe in several of its blocks."""
         k = bisect_right(self.firsts, key) - 1
         if k < 0 or key > self.parts[k][1]:
-            return None
+            return []
         _, _, blocks, directory = self.parts[k]
         firsts, places = self._hold(directory, lambda: self._directory(directory))
-        j = bisect_right(firsts, key) - 1
-        keys, lines = self._hold(f"{blocks}#{j}", lambda: self._block(blocks, *places[j]))
-        at = bisect_right(keys, key) - 1
-        return json.loads(lines[at]) if keys[at] == key else None
+        out = []
+        for j in range(max(bisect_left(firsts, key) - 1, 0), bisect_right(firsts, key)):
+            keys, lines = self._hold(f"{blocks}#{j}", lambda j=j: self._block(blocks, *places[j]))
+            out += lines[bisect_left(keys, key) : bisect_right(keys, key)]
+        return [json.loads(x) for x in out]
+
+    def find(self, key: bytes) -> dict | None:
+        """The index line of a capture, the last one of equal keys; None if there is none."""
+        found = self.find_all(key)
+        return found[-1] if found else None
 
     def fetch(self, line: dict) -> tuple[dict[str, str], dict[str, str], bytes]:
         """Range-read one record of an archive and parse it."""
@@ -216,24 +237,28 @@ class CaptureIndex:
         return parse_record(zlib.decompress(archive.read_at(line["length"], line["offset"]), 31))
 
 
-def _reader(parts: list[tuple[bytes, bytes, str, str]]):
+def _reader(parts: list[tuple[bytes, bytes, str, str]], strict: bool):
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = CaptureIndex(parts)
+        index, last = CaptureIndex(parts), None
         for batch in batches:
             out = {"page_id": [], "payload_bytes": [], "payload_digest": [], "record_type": [], "refers_to": []}
             for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                line = index.find(key)
-                if line is None:
+                if key == last:  # requests come sorted, and one of a key gives all its captures
                     continue
-                fields, http, payload = index.fetch(line)
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                    raise ValueError(f"{line['filename']} at {line['offset']}: the payload doesn't have its digest")
-                refers = fields.get("WARC-Refers-To")
-                for name, value in zip(out, (page_id, int(http["Content-Length"]), digest, fields["WARC-Type"], int(refers[len("<urn:page:") : -1]) if refers else None), strict=True):
-                    out[name].append(value)
+                last = key
+                lines = index.find_all(key)
+                if strict and not lines:
+                    raise ValueError(f"no capture of {key!r}")
+                for line in lines:
+                    fields, http, payload = index.fetch(line)
+                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                        raise ValueError(f"{line['filename']} at {line['offset']}: the payload doesn't have its digest")
+                    refers = fields.get("WARC-Refers-To")
+                    for name, value in zip(out, (page_id, int(http["Content-Length"]), digest, fields["WARC-Type"], int(refers[len("<urn:page:") : -1]) if refers else None), strict=True):
+                        out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
     return run
@@ -245,11 +270,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], ["key", "page_id"])
 
 
-def read_back(wanted: DataFrame, parts: list[tuple[bytes, bytes, str, str]]) -> DataFrame:
+def read_back(wanted: DataFrame, parts: list[tuple[bytes, bytes, str, str]], *, strict: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of the captures of ``wanted`` (page_id, url).
 
-    Requests are sorted by key, so that a task meets few blocks. A request without a capture gives no row.
+    Requests are sorted by key, so that a task meets few blocks. Each capture of
+    a requested page and URL gives one row, however often it is requested or
+    archived. A request without a capture gives no row, or an error if ``strict``.
     """
     n = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = arrow_map(wanted.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), _keys, "key binary, page_id long")
-    return arrow_map(keyed.repartitionByRange(n, "key").sortWithinPartitions("key"), _reader(parts), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return arrow_map(keyed.repartitionByRange(n, "key").sortWithinPartitions("key"), _reader(parts, strict), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
