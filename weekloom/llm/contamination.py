@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil
 from typing import NamedTuple
 
@@ -11,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.llm import files
 from weekloom.llm import wordbytes as wb
-from weekloom.llm.tables import arrow_map, ship
+from weekloom.llm.tables import arrow_map, materialize, new_path, release_memory, ship
 
 
 class ItemBlock(NamedTuple):
@@ -51,18 +54,39 @@ def item_block(ids: list[int], texts: list[str], hashes: int, seed: int) -> Item
     return ItemBlock(item_id, np.array(width), shingles, tables, factors)
 
 
-def item_blocks(items: DataFrame, *, hashes: int = 48, block: int = 5000, seed: int = 23) -> list[ItemBlock]:
-    """The items (item_id, text) in blocks of about ``block``; each block alone is held by a task at a time.
+def write_blocks(items: DataFrame, *, hashes: int = 48, block: int = 5000, seed: int = 23) -> list[str]:
+    """Write the items (item_id, text) in blocks of about ``block`` to files in the shared folder; returns their names.
 
-    Items with a null id or text, or without a word, are left out.
+    Tasks make the blocks, and readers hold one at a time. Items with a null id
+    or text, or without a word, are left out.
     """
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n = max(1, ceil(rows.count() / block))
-    out = []
-    for k in range(n):
-        mine = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").toArrow().to_pydict()
-        out.append(item_block(mine["item_id"], mine["text"], hashes, seed))
-    return [b for b in out if b.item_id]
+    folder = new_path(items.sparkSession, "items")
+    dealt = rows.repartition(n, F.xxhash64("item_id", "text")).sortWithinPartitions("item_id", "text")
+    return [r["uri"] for r in materialize(arrow_map(dealt, _block_writer(folder, hashes, seed), "uri string"), "blocks").collect()]
+
+
+def _block_writer(folder: str, hashes: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+        made = item_block(ids, texts, hashes, seed)
+        if made.item_id:
+            uri, out = files.create(folder, "items.block")
+            out.write(pickle.dumps(made))
+            out.close()
+            yield pa.RecordBatch.from_pydict({"uri": [uri]})
+
+    return run
+
+
+@lru_cache(maxsize=1)
+def _read_block(uri: str) -> ItemBlock:
+    with files.open_range(uri) as f:
+        return pickle.loads(f.read())
 
 
 def find_items(block: ItemBlock, part: wb.Slice, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,26 +156,24 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8
     are ignored, a repeated row gives repeated results, and empty tables give an
     empty result.
     """
-    schema = "doc_id long, item_id long, n_item_shingles long, n_shared long"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for block in item_blocks(items, hashes=hashes):
-        found = arrow_map(source, _searcher(block, threshold), schema)
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
+    out = arrow_map(source, _searcher(write_blocks(items, hashes=hashes), threshold), "doc_id long, item_id long, n_item_shingles long, n_shared long")
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
 
-def _searcher(block: ItemBlock, threshold: float):
+def _searcher(uris: list[str], threshold: float):
+    """One scan of the documents: each batch of rows meets one block after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.array(block.item_id, np.int64)
-        sizes = np.array([len(x) for x in block.shingles], np.int64)
         for batch in batches:
-            for part in wb.slices(batch.column(1)):
-                row, item, shared = find_items(block, part, threshold)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + part.first)), pa.array(ids[item]), pa.array(sizes[item]), pa.array(shared)], ["doc_id", "item_id", "n_item_shingles", "n_shared"])
+            for uri in uris:
+                block = _read_block(uri)
+                ids = np.array(block.item_id, np.int64)
+                sizes = np.array([len(x) for x in block.shingles], np.int64)
+                for part in wb.slices(batch.column(1)):
+                    row, item, shared = find_items(block, part, threshold)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + part.first)), pa.array(ids[item]), pa.array(sizes[item]), pa.array(shared)], ["doc_id", "item_id", "n_item_shingles", "n_shared"])
 
     return run
 
@@ -159,16 +181,18 @@ def _searcher(block: ItemBlock, threshold: float):
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, hashes: int = 48) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in which no item is found (see ``contained_items``)."""
     ship(docs.sparkSession)
-    for block in item_blocks(items, hashes=hashes):
-        docs = docs.where(~F.arrow_udf(_holder(block, threshold), "boolean")(F.col("text").cast("string")))
-    return docs
+    holds = F.arrow_udf(_holder(write_blocks(items, hashes=hashes), threshold), "boolean")
+    return docs.where(~holds(F.col("text").cast("string")))
 
 
-def _holder(block: ItemBlock, threshold: float):
+def _holder(uris: list[str], threshold: float):
     def run(texts: pa.Array) -> pa.Array:
         held = np.zeros(len(texts), bool)
-        for part in wb.slices(texts):
-            held[part.first + find_items(block, part, threshold)[0]] = True
+        for uri in uris:
+            block = _read_block(uri)
+            for part in wb.slices(texts):
+                held[part.first + find_items(block, part, threshold)[0]] = True
+        release_memory()
         return pa.array(held)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
