@@ -22,10 +22,19 @@ from pyspark.sql import functions as F
 
 from weekloom.llm import wordbytes as wb
 from weekloom.llm.components import connected_components
-from weekloom.llm.tables import arrow_map, materialize
+from weekloom.llm.tables import arrow_map, discard, materialize
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, left_half array<long>, right_half array<long>"
-SETS = "doc_id long, shingles array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, node long, left_half array<long>, right_half array<long>"
+SETS = "node long, shingles array<long>"
+#: Comparisons with one central document that meet in one task's key at most, about.
+HUB_PAIRS = 64
+
+
+def _nodes(value: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set of shingles: a hash of two sums over its members."""
+    spread = wb.mix(value)
+    other = np.add.reduceat(wb.mix(spread + np.uint64(0xD6E8FEB86659FD93)), start)
+    return wb.signed(wb.mix(np.add.reduceat(spread, start) + wb.mix(other)))
 
 
 def _sketches(half_tables: int, half_width: int, width: int, seed: int):
@@ -33,18 +42,16 @@ def _sketches(half_tables: int, half_width: int, width: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in wb.slices(batch.column(1)):
+            for part in wb.slices(batch.column(2)):
                 rows = part.last - part.first
                 doc, value = wb.shingle_keys(wb.words(part), rows, width)
                 size = np.bincount(doc, minlength=rows)
                 full = np.flatnonzero(size)
                 start = (np.cumsum(size) - size)[full]
-                sums = np.zeros((2, rows), np.uint64)
+                node = np.zeros(rows, np.int64)
                 halves = np.zeros((rows, 2 * half_tables), np.uint64)
                 if len(full):
-                    spread = wb.mix(value)
-                    sums[0, full] = np.add.reduceat(spread, start)
-                    sums[1, full] = np.add.reduceat(wb.mix(spread + np.uint64(0xD6E8FEB86659FD93)), start)
+                    node[full] = _nodes(value, start)
                     hashed = np.empty_like(value)
                     for t in range(2 * half_tables):
                         half = np.full(len(full), (t + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
@@ -54,7 +61,7 @@ def _sketches(half_tables: int, half_width: int, width: int, seed: int):
                             half = wb.mix(half + np.minimum.reduceat(hashed, start))
                         halves[full, t] = half
                 left, right = (wb.list_array(wb.signed(np.ascontiguousarray(x[full]).ravel()), np.where(size > 0, half_tables, 0)) for x in (halves[:, :half_tables], halves[:, half_tables:]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, rows), pa.array(size.astype(np.int64)), pa.array(wb.signed(sums[0])), pa.array(wb.signed(sums[1])), left, right], ["doc_id", "n_shingles", "set_a", "set_b", "left_half", "right_half"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(part.first, rows) for k in (0, 1)), pa.array(size.astype(np.int64)), pa.array(node), left, right], ["doc_id", "text_hash", "n_shingles", "node", "left_half", "right_half"])
 
     return run
 
@@ -62,78 +69,107 @@ def _sketches(half_tables: int, half_width: int, width: int, seed: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in wb.slices(batch.column(1)):
+            for part in wb.slices(batch.column(2)):
                 rows = part.last - part.first
                 doc, value = wb.shingle_keys(wb.words(part), rows, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, rows), wb.list_array(wb.signed(value), np.bincount(doc, minlength=rows))], ["doc_id", "shingles"])
+                size = np.bincount(doc, minlength=rows)
+                size = size[size > 0]
+                if len(size):
+                    yield pa.RecordBatch.from_arrays([pa.array(_nodes(value, np.cumsum(size) - size)), wb.list_array(wb.signed(value), size)], ["node", "shingles"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int = 10, half_width: int = 3, width: int = 5, seed: int = 11) -> DataFrame:
-    """doc_id, n_shingles, class_id, n_links, component_id and kept for every row of ``docs`` (doc_id, text).
+    """doc_id, text_hash, n_shingles, class_id, component_id and kept for every row of ``docs`` (doc_id, text).
 
-    Words are lower-cased in A-Z. Documents are linked if
+    Words are lower-cased in A-Z. Texts are linked if
     ``100 * intersection >= threshold * union`` of their ``width``-word shingle
-    sets. class_id is the smallest doc_id with the same set; n_links is the
-    number of classes linked to this one that were confirmed directly (a
-    spanning set, not every pair). component_id is the smallest doc_id reachable.
+    sets. class_id is the smallest doc_id with the same set, component_id the
+    smallest doc_id reachable over links, and kept says whether that is the
+    row's own. text_hash is Spark's xxhash64 of the text.
 
     Null or empty texts have no shingles, link with nothing and are kept. A
     null doc_id has a null component, links with nothing and is kept. Rows that
-    repeat a doc_id and its text share one result. Other columns are ignored,
-    whatever their names. An empty table gives an empty result.
+    repeat a doc_id and its text share one result. Unlike texts of one doc_id
+    are texts of their own, each with its own component. Other columns are
+    ignored, whatever their names. An empty table gives an empty result.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = materialize(arrow_map(source, _sketches(half_tables, half_width, width, seed), SKETCH), "sketches")
-    same = ["n_shingles", "set_a", "set_b"]
-    classes = materialize(sketches.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("class_id")), "classes")
-    of_class = sketches.select("doc_id", *same).join(classes, same, "left")
-    reps = sketches.join(classes.select("class_id").distinct(), F.col("doc_id") == F.col("class_id"), "left_semi").dropDuplicates(["doc_id"])
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    made: list[DataFrame] = []
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialize(df, name))
+        return made[-1]
+
+    sketches = save(arrow_map(source, _sketches(half_tables, half_width, width, seed), SKETCH), "sketches")
+    # One node for each set; its first document stands for it.
+    classes = save(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("class_id")), "classes")
+    reps = sketches.where("n_shingles > 0").join(classes, (sketches.node == classes.node) & (F.col("doc_id") == F.col("class_id")), "left_semi").dropDuplicates(["node"])
 
     # Halves that two classes share; a pair needs one on either side.
-    halves = materialize(reps.select("doc_id", F.explode("left_half").alias("half"), F.lit(True).alias("is_left")).union(reps.select("doc_id", F.explode("right_half"), F.lit(False))), "halves")
-    shared = materialize(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    both = halves.join(shared, "half").groupBy("doc_id").agg(F.expr("collect_list(half) filter (where is_left)").alias("l"), F.expr("collect_list(half) filter (where not is_left)").alias("r"), F.sum("n").alias("weight"))
-    near = materialize(both.where("size(l) > 0 and size(r) > 0"), "near")
-    keys = materialize(near.select("doc_id", "weight", F.explode("l").alias("l"), "r").select("doc_id", "weight", "l", F.explode("r").alias("r")).select("doc_id", "weight", F.xxhash64("l", "r").alias("key")), "keys")
-    hubs = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("best")).where("n > 1").select("key", (-F.col("best.minus")).alias("hub")), "hubs")
-    members = materialize(keys.join(hubs, "key").select("key", "hub", "doc_id"), "members")
-    stars = materialize(members.where("hub <> doc_id").select("hub", "doc_id").distinct(), "stars")
-
-    wanted = materialize(stars.select("doc_id").union(stars.select("hub")).distinct(), "wanted")
-    sets = materialize(arrow_map(source.join(wanted, "doc_id", "left_semi"), _sets(width), SETS), "sets")
+    halves = save(reps.select("node", F.explode("left_half").alias("half"), F.lit(True).alias("is_left")).union(reps.select("node", F.explode("right_half"), F.lit(False))), "halves")
+    shared = save(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    both = halves.join(shared, "half").groupBy("node").agg(F.expr("collect_list(half) filter (where is_left)").alias("l"), F.expr("collect_list(half) filter (where not is_left)").alias("r"), F.sum("n").alias("weight"))
+    near = save(both.where("size(l) > 0 and size(r) > 0"), "near")
+    keys = save(near.select("node", "weight", F.explode("l").alias("l"), "r").select("node", "weight", "l", F.explode("r").alias("r")).select("node", "weight", F.xxhash64("l", "r").alias("key")), "keys")
+    hubs = save(keys.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("best")).where("n > 1").select("key", F.col("best.node").alias("hub")), "hubs")
+    members = save(keys.join(hubs, "key").select("key", "hub", "node"), "members")
+    stars = save(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+
+    wanted = save(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "wanted")
+    wanted_docs = save(classes.join(wanted, "node").select(F.col("class_id").alias("doc_id")).distinct(), "wanted_docs")
+    found_sets = arrow_map(source.join(wanted_docs, "doc_id", "left_semi"), _sets(width), SETS)
+    sets = save(found_sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
     close = F.expr(f"100 * common >= {int(threshold)} * (size_a + size_b - common)")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_of_a"))
-        b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_of_b"))
-        met = pairs.join(a, "a").join(b, "b").select("a", "b", "set_of_a", "set_of_b", F.size(F.array_intersect("set_of_a", "set_of_b")).alias("common"))
+        """Sets of both sides of the pairs; a side with many partners is dealt over parts, each with a copy of its set."""
+        b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_of_b"))
+        parts = save(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("long").alias("parts")), "parts")
+        hot = parts.where("parts > 1")
+        dealt = pairs.join(hot, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))))
+        a = sets.join(parts, sets.node == parts.a).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("set_of_a"))
+        met = dealt.join(b, "b").join(a, ["a", "part"]).select("a", "b", "set_of_a", "set_of_b", F.size(F.array_intersect("set_of_a", "set_of_b")).alias("common"))
         return met.withColumns({"size_a": F.size("set_of_a"), "size_b": F.size("set_of_b")})
 
-    met = materialize(compared(stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))).select("a", "b", "common", "size_a", "size_b", F.array_except("set_of_b", "set_of_a").alias("extra")), "met")
+    met = save(compared(stars).select("a", "b", "common", "size_a", "size_b", F.array_except("set_of_b", "set_of_a").alias("extra")), "met")
     links = met.where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    labels = connected_components(links)
+    labels = connected_components(links).withColumnRenamed("node", "at")
 
     # Buckets that still hold several components: what a member can share with
     # another is its part of the hub and the extras that others of the star have.
-    named = materialize(members.join(labels, members.doc_id == labels.node, "left").select("key", "hub", "doc_id", F.coalesce("label", "doc_id").alias("label")), "named")
-    open_keys = materialize(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "open")
-    live = materialize(named.join(open_keys, "key", "left_semi").where("hub <> doc_id"), "live")
-    extras = materialize(met.join(live.select(F.col("hub").alias("a")).distinct(), "a", "left_semi").select("a", "b", F.explode("extra").alias("token")), "extras")
-    common = materialize(extras.groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1").select("a", "token"), "common_extras")
+    named = save(members.join(labels, members.node == F.col("at"), "left").select("key", "hub", "node", F.coalesce("label", "node").alias("label")), "named")
+    open_keys = save(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "open")
+    live = save(named.join(open_keys, "key", "left_semi").where("hub <> node"), "live")
+    extras = save(met.join(live.select(F.col("hub").alias("a")).distinct(), "a", "left_semi").select("a", "b", F.explode("extra").alias("token")), "extras")
+    common = save(extras.groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1").select("a", "token"), "common_extras")
     shares = extras.join(common, ["a", "token"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    reach = materialize(met.select("a", "b", "common", "size_b").join(shares, ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.col("size_b").alias("size"), (F.col("common") + F.coalesce("shared", F.lit(0))).alias("most")).where(f"100 * most >= {int(threshold)} * size"), "reach")
-    able = materialize(live.join(reach, ["hub", "doc_id"]).select("key", "doc_id", "label", "size", "most"), "able")
+    reach = save(met.select("a", "b", "common", "size_b").join(shares, ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("size_b").alias("size"), (F.col("common") + F.coalesce("shared", F.lit(0))).alias("most")).where(f"100 * most >= {int(threshold)} * size"), "reach")
+    able = save(live.join(reach, ["hub", "node"]).select("key", "node", "label", "size", "most"), "able")
     # A pair meets in the smallest of the keys that it shares, and only there.
-    able = materialize(able.join(able.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "doc_id"), "able_keys")
+    able = save(able.join(able.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "able_keys")
     x, y = able.alias("x"), able.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * least(x.most, y.most) >= {int(threshold)} * (x.size + y.size - least(x.most, y.most))") & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))"))
-    more = compared(materialize(rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "rest")).where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    links = materialize(links.union(more).distinct(), "links")
-    labels = connected_components(links)
-    ends = links.select("src").union(links.select("dst")).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_links"))
-    found = materialize(labels.join(ends, "node").select(F.col("node").alias("class_id"), "label", "n_links"), "found")
-    out = of_class.join(found, "class_id", "left")
-    component = F.coalesce("label", "class_id", "doc_id")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * least(x.most, y.most) >= {int(threshold)} * (x.size + y.size - least(x.most, y.most))") & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))"))
+    rest = save(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "rest")
+    more = compared(rest).where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = save(links.union(more).distinct(), "links")
+    labels = connected_components(links).withColumnRenamed("node", "at")
+    # The smallest doc_id of each component names it.
+    named = classes.join(labels, classes.node == F.col("at"), "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("class_id").alias("least"))
+    found = save(named.join(least, "label").select("node", "class_id", "least"), "found")
+    out = sketches.select("doc_id", "text_hash", "n_shingles", F.expr("if(n_shingles > 0 and doc_id is not null, node, null)").alias("node")).join(found, "node", "left")
+    component = F.coalesce("least", "doc_id")
+    out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return discard(materialize(out, "near_duplicates"), *made)
+
+
+def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``near_duplicates`` keeps; its ``settings`` are passed on.
+
+    A row goes by its doc_id and its text, so that another text of the same doc_id stays.
+    """
+    gone = near_duplicates(docs, **settings).where("not kept").select("doc_id", "text_hash").distinct().alias("gone")
+    key = (F.col("rows.doc_id").cast("long") == F.col("gone.doc_id")) & (F.xxhash64(F.col("rows.text").cast("string")) == F.col("gone.text_hash"))
+    return docs.alias("rows").join(gone, key, "left_anti")

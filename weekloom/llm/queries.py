@@ -24,7 +24,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_links")
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    return warc.read_back(pages, warc.write_index(warc.write_archives(pages)))
+    return warc.read_back(pages, warc.write_index(warc.write_archives(pages)), strict=True)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(read_table(spark, sf_dir, "documents"))
+    return licenses.license_scan(read_table(spark, sf_dir, "documents"), licenses.TEMPLATES | licenses.installed_templates())
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +75,12 @@ _TRIMMED = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 _LINE_DEDUP = f"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
-each AS (SELECT page, source, unnest(list_distinct(list_transform(lines, lambda x: {_TRIMMED}))) AS line FROM pages),
+texts AS (SELECT DISTINCT source, text, lines FROM pages),
+totals AS (SELECT source, count(*) AS pages FROM texts GROUP BY source),
+each AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: {_TRIMMED}))) AS line FROM texts),
 counts AS (SELECT source, line, count(*) AS n FROM each WHERE line <> '' GROUP BY source, line),
 often AS (SELECT c.source, list(c.line) AS often FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-          WHERE t.pages >= 20 AND c.n > 0.1 * t.pages GROUP BY c.source),
+          WHERE c.n >= 3 AND c.n > 0.01 * t.pages GROUP BY c.source),
 kept AS (SELECT doc_id, text, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(often, []), {_TRIMMED})) AS left_lines
          FROM pages p LEFT JOIN often o ON p.source IS NOT DISTINCT FROM o.source),
 done AS (SELECT doc_id, lines, left_lines, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(left_lines, chr(10)), '') END AS out FROM kept)
