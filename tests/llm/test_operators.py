@@ -103,10 +103,10 @@ def test_quality_separates_labelled_documents(spark):
     assert r.good > 0.99 and r.bad < 0.2
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     sets = {i: shingles(t) for i, t in texts.items()}
     label = {i: i for i in sets}
-    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     for _ in sets:
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
@@ -128,6 +128,23 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert got.where("kept <> (doc_id = component_id)").count() == 0
 
 
+def test_unlike_texts_of_one_document(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "u v w x y z"), (9, "u v w x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (5, 1, False), (5, 5, True), (9, 5, False)]
+    assert sorted(map(tuple, minhash.drop_near_duplicates(docs).collect())) == [(1, "a b c d e f"), (5, "u v w x y z")]
+
+
+def test_a_hub_with_many_partners(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HUB_PAIRS", 4)
+    draw = random.Random(2)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    texts = {k: " ".join([*base[: 150 + k % 3], f"e{k}", *base[151 + k % 3 :]]) for k in range(40)}
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts)
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
@@ -170,29 +187,19 @@ def table():
     return pieces.PieceTable(PIECE_MODEL)
 
 
-def test_segmentation_has_the_best_score(table, documents):
+def test_ids_equal_the_library(table):
+    import pyarrow.parquet as pq
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
-    score = {i: model.get_score(i) for i in range(model.get_piece_size())}
-    by_piece = {model.id_to_piece(i): score[i] for i in score if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-    texts = [r.text for r in documents.select(F.substring("text", 1, 200).alias("text")).limit(40).collect()] + ["  a  b ", "日本語\n\tx", "😀é", "y" * 70]
-    ids, counts = table.encode(pa.array(texts))
-    ends = np.r_[0, np.cumsum(counts)]
-    for k, text in enumerate(texts):
-        marked = "▁" + text.replace(" ", "▁")
-        best = [0.0] + [-math.inf] * len(marked)
-        for end in range(1, len(marked) + 1):
-            best[end] = max([best[end - 1] + table.unknown] + [best[at] + by_piece[marked[at:end]] for at in range(max(0, end - 16), end) if marked[at:end] in by_piece])
-        mine, run = 0.0, list(ids[ends[k] : ends[k + 1]])
-        while run:
-            if model.is_byte(int(run[0])):
-                lead = int(model.id_to_piece(int(run[0]))[3:5], 16)
-                del run[: 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4]
-                mine += table.unknown
-            else:
-                mine += score[int(run.pop(0))]
-        assert mine == pytest.approx(best[-1])
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    texts += ["  a  b ", "日本語\n\tx", "😀é", "y" * 70, "abcdefghij" * 700, "", None, "a\u2581b"]
+    draw = random.Random(6)
+    texts += ["".join(draw.choices("aeinrst ▁", k=300)) for _ in range(100)]
+    for k in range(0, len(texts), 200):
+        ids, counts = table.encode(pa.array(texts[k : k + 200]))
+        ends = np.r_[0, np.cumsum(counts)]
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == model.encode([t or "" for t in texts[k : k + 200]])
 
 
 def test_decoding_gives_the_text_back(odd, nothing, documents):
@@ -240,7 +247,7 @@ def test_contamination_of_odd_rows(spark, odd, nothing):
     assert contamination.drop_contaminated(odd, none).count() == len(ODD)
 
 
-PAGES = [(5, "http://www.b.org/x?b=2&a=1#f", "<p>é</p>"), (3, "http://a.org/", "<p>é</p>"), (9, None, None), (8, "nonsense \n here", ""), (4, "http://a.org:8080/Q", "other"), (None, "http://n.org", "<p>é</p>"), (12, "http://a.org/", "<p>é</p>"), (12, "http://a.org/", "<p>é</p>")]
+PAGES = [(5, "http://www.b.org/x?b=2&a=1#f", "<p>é</p>"), (3, "http://a.org/", "<p>é</p>"), (9, None, None), (8, "nonsense \n here", ""), (20, "http://h:99999/a\tb", "t"), (21, "http://[open\r\n/x", "u"), (22, "\x00\x7f", "v"), (23, "http://a.org/", "one"), (23, "http://a.org/", "two"), (4, "http://a.org:8080/Q", "other"), (None, "http://n.org", "<p>é</p>"), (12, "http://a.org/", "<p>é</p>"), (12, "http://a.org/", "<p>é</p>")]
 
 
 def test_archives_give_every_page_back(spark):
@@ -309,25 +316,65 @@ def test_patience_alignment():
 def test_licenses_are_found_where_they_stand(spark, odd, nothing):
     mit = licenses.TEMPLATES["mit"]
     changed = mit.replace("deal in", "handle in")
-    docs = spark.createDataFrame([(1, LONG + mit + LONG), (2, changed), (3, "released under the mit license"), (4, "the the under mit a license"), (5, "All rights reserved. " * 3)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, LONG + mit + LONG), (2, changed), (3, "released under the mit license"), (4, "the the under mit a license"), (5, "All rights reserved. " * 3), (6, mit + " " + mit)], "doc_id long, text string")
     got = {(r.doc_id, r.license): r for r in licenses.license_scan(docs).collect()}
     assert got[1, "mit"].coverage == 1 and got[1, "mit"].first_word == 20000
     assert 0.9 < got[2, "mit"].coverage < 1
     assert got[3, "mit-notice"].coverage == 1 and not [k for k in got if k[0] == 4]
     assert got[5, "all-rights-reserved"].first_word == 0
+    assert got[6, "mit"].coverage == 1 and got[6, "mit"].first_word == 0
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(nothing).count() == 0 and licenses.license_scan(docs, {}).count() == 0
 
 
+@pytest.mark.parametrize("inserted", [1, 60, 120, 500])
+def test_licenses_with_text_in_their_middle(inserted):
+    known = licenses.make_templates({"mit": licenses.TEMPLATES["mit"]})
+    words = re.findall(r"\w+", licenses.TEMPLATES["mit"].lower())
+    assert len(words) == len(known[0].words)
+    for at in range(len(words) + 1):
+        for pad in (0, 43, 80):
+            text = " ".join([f"p{k}" for k in range(pad)] + words[:at] + [f"x{k}" for k in range(inserted)] + words[at:])
+            ((_, _, n, covered, first, _),) = licenses.find_licenses(known, next(wb.slices(pa.array([text]))), 0.85)
+            # one or two words alone at an end are no stretch
+            lost = min(at, len(words) - at) if min(at, len(words) - at) < 3 else 0
+            assert (covered, first) == (n - lost, pad + (inserted + at if 0 < at < 3 or at == 0 else 0))
+
+
+def test_alignment_covers_what_the_longest_common_run_of_stretches_does():
+    """On texts whose words are unique the alignment is the exact longest rising run."""
+    draw = random.Random(5)
+    for _ in range(100):
+        a = list(range(40))
+        b = a[: draw.randrange(40)] + draw.sample(range(100, 200), 10) + a[draw.randrange(40) :]
+        met = licenses.patience(a, b)
+        grid = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                grid[i + 1][j + 1] = grid[i][j] + 1 if x == y else max(grid[i][j + 1], grid[i + 1][j])
+        assert len(met) <= grid[-1][-1]
+        if len(set(b)) == len(b):
+            assert len(met) == grid[-1][-1]
+
+
+def test_whole_license_texts_of_a_folder(tmp_path):
+    (tmp_path / "Own-1").write_text("one two three four five six")
+    (tmp_path / "Own").symlink_to(tmp_path / "Own-1")
+    assert licenses.installed_templates(str(tmp_path)) == {"own-1": "one two three four five six"}
+    assert licenses.installed_templates(str(tmp_path / "none")) == {}
+
+
 def test_license_notices_of_the_table(documents):
     plain = {(r.doc_id, n) for r in documents.collect() for n in ("mit-notice", "apache-2.0-notice", "gpl-3.0-notice", "cc-by-nc-4.0-notice", "all-rights-reserved") if licenses.TEMPLATES[n] in r.text}
     assert {(r.doc_id, r.license) for r in licenses.license_scan(documents).where("coverage = 1").collect()} >= plain
 
 
 def test_boilerplate_lines_go(spark, odd, nothing):
-    rows = [(i, "h", f"top\nline {i}\n top \n\nend") for i in range(30)] + [(100, None, "top\nx"), (101, "few", "top"), (102, "h", None), (103, "h", "top")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_wl_x", F.lit(1))
+    rows = [(i, "h", f"top\nline {i}\n top \n\nend") for i in range(30)] + [(100, None, "top\nx"), (101, "few", "top"), (102, "h", None), (103, "h", "top"), (104, "h", "twice\na"), (105, "h", "twice\nb"), (106, "h", "twice\nb")]
+    rows += [(200 + i, "small", f"head\n{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.lit(1) for c in ("host_of", "often", "hits", "page")})
     got = {r.doc_id: r.text for r in linefreq.drop_boilerplate(docs).collect()}
     assert got[3] == "line 3\n" and got[100] == "top\nx" and got[101] == "top" and got[102] is None and got[103] == ""
+    assert got[106] == "twice\nb" and got[201] == "1"  # two distinct pages, three distinct pages
     joined = {r.doc_id: r.text for r in linefreq.drop_boilerplate(docs, broadcast_lines=0).collect()}
     assert joined == got
     assert linefreq.drop_boilerplate(odd).columns == odd.columns and linefreq.drop_boilerplate(nothing).count() == 0
