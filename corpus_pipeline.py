@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from weekloom.llm import contamination, language, linefreq, minhash, pieces
 from weekloom.llm.queries import PIECE_MODEL, held_out_language
-from weekloom.llm.tables import materialize, read_table
+from weekloom.llm.tables import materialize, read_table, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a recognised language; those without a letter, or far from all profiles, go."""
+    """Documents whose text has a recognised language; those without a letter (null and empty ones too), or far from all profiles, go. Repeated rows share one fate."""
     profiles = language.fit_profiles(docs.where(~held_out_language()))
     return language.keep_identified(docs, profiles, min_score=0.2)
 
@@ -25,30 +25,33 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Copies of a text count as one page of their source. A document of which
     nothing but white space would stay keeps its whole text: if its lines are
-    those of many near copies, near-dedup keeps one of them.
+    those of many near copies, near-dedup keeps one of them. Null and empty
+    texts and repeated rows stay as they are.
     """
-    shorter = linefreq.drop_boilerplate(docs.withColumn("_wl_before", F.col("text")), distinct_texts=True)
-    shorter = shorter.withColumn("text", F.when(linefreq.is_blank("text"), F.col("_wl_before")).otherwise(F.col("text")))
-    changed = F.col("text") != F.col("_wl_before")
-    return shorter.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_wl_before")
+    before = unused(docs, "before")
+    shorter = linefreq.drop_boilerplate(docs.withColumn(before, F.col("text")))
+    shorter = shorter.withColumn("text", F.when(linefreq.is_blank("text"), F.col(before)).otherwise(F.col("text")))
+    changed = F.col("text") != F.col(before)
+    return shorter.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates, linked from a similarity of 0.8 on.
 
-    A pair at exactly 0.8 is missed with a chance of about 1.8e-4.
+    A pair at exactly 0.8 is missed with a chance of about 1.8e-4. Rows without
+    an id or without words stay, rows that repeat a kept one too, and so does
+    another text under the doc_id of a row that goes.
     """
-    copies = materialize(minhash.near_duplicates(docs, threshold=80, half_tables=13).where("not kept").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return minhash.drop_near_duplicates(docs, threshold=80, half_tables=13)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return contamination.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and the text decoded from the ids."""
+    """doc_id, ids, n_tokens and the text decoded from the ids; null becomes an empty text, repeated rows stay."""
     coded = pieces.encode_pieces(docs, PIECE_MODEL)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").alias("text"))
 
