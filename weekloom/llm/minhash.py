@@ -120,20 +120,30 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     wanted = save(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "wanted")
     wanted_docs = save(classes.join(wanted, "node").select(F.col("class_id").alias("doc_id")).distinct(), "wanted_docs")
     found_sets = arrow_map(source.join(wanted_docs, "doc_id", "left_semi"), _sets(width), SETS)
-    sets = save(found_sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    found_sets = found_sets.join(wanted, "node", "left_semi")
+    # Only rows that repeat a doc_id and its text make a set twice; without them no set need move.
+    twice = sketches.join(wanted, "node", "left_semi").join(classes.withColumnsRenamed({"node": "of", "class_id": "first"}), (F.col("node") == F.col("of")) & (F.col("doc_id") == F.col("first")), "left_semi").groupBy("node").count().where("count > 1")
+    sets = save(found_sets.dropDuplicates(["node"]) if twice.limit(1).count() else found_sets, "sets")
     close = F.expr(f"100 * common >= {int(threshold)} * (size_a + size_b - common)")
 
-    def compared(pairs: DataFrame) -> DataFrame:
+    def parts_of(pairs: DataFrame) -> DataFrame:
+        """(a, parts): how many parts the pairs of each first side are dealt over."""
+        return save(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("long").alias("parts")), "parts")
+
+    def each_part(df: DataFrame, *columns) -> DataFrame:
+        return df.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *columns)
+
+    def compared(pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """Sets of both sides of the pairs; a side with many partners is dealt over parts, each with a copy of its set."""
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_of_b"))
-        parts = save(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("long").alias("parts")), "parts")
         hot = parts.where("parts > 1")
         dealt = pairs.join(hot, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))))
-        a = sets.join(parts, sets.node == parts.a).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("set_of_a"))
-        met = dealt.join(b, "b").join(a, ["a", "part"]).select("a", "b", "set_of_a", "set_of_b", F.size(F.array_intersect("set_of_a", "set_of_b")).alias("common"))
+        a = each_part(sets.join(parts, sets.node == parts.a), F.col("shingles").alias("set_of_a"))
+        met = dealt.join(b, "b").join(a, ["a", "part"]).select("a", "b", "part", "set_of_a", "set_of_b", F.size(F.array_intersect("set_of_a", "set_of_b")).alias("common"))
         return met.withColumns({"size_a": F.size("set_of_a"), "size_b": F.size("set_of_b")})
 
-    met = save(compared(stars).select("a", "b", "common", "size_a", "size_b", F.array_except("set_of_b", "set_of_a").alias("extra")), "met")
+    parts = parts_of(stars)
+    met = save(compared(stars, parts).select("a", "b", "part", "common", "size_a", "size_b", F.array_except("set_of_b", "set_of_a").alias("extra")), "met")
     links = met.where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     labels = connected_components(links).withColumnRenamed("node", "at")
 
@@ -142,7 +152,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     named = save(members.join(labels, members.node == F.col("at"), "left").select("key", "hub", "node", F.coalesce("label", "node").alias("label")), "named")
     open_keys = save(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "open")
     live = save(named.join(open_keys, "key", "left_semi").where("hub <> node"), "live")
-    extras = save(met.join(live.select(F.col("hub").alias("a")).distinct(), "a", "left_semi").select("a", "b", F.explode("extra").alias("token")), "extras")
+    extras = save(met.join(each_part(live.select(F.col("hub").alias("a")).distinct().join(parts, "a")), ["a", "part"], "left_semi").select("a", "b", F.explode("extra").alias("token")), "extras")
     common = save(extras.groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1").select("a", "token"), "common_extras")
     shares = extras.join(common, ["a", "token"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
     reach = save(met.select("a", "b", "common", "size_b").join(shares, ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("size_b").alias("size"), (F.col("common") + F.coalesce("shared", F.lit(0))).alias("most")).where(f"100 * most >= {int(threshold)} * size"), "reach")
@@ -152,7 +162,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     x, y = able.alias("x"), able.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * least(x.most, y.most) >= {int(threshold)} * (x.size + y.size - least(x.most, y.most))") & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))"))
     rest = save(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "rest")
-    more = compared(rest).where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    more = compared(rest, parts_of(rest)).where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     links = save(links.union(more).distinct(), "links")
     labels = connected_components(links).withColumnRenamed("node", "at")
     # The smallest doc_id of each component names it.
@@ -170,6 +180,6 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
 
     A row goes by its doc_id and its text, so that another text of the same doc_id stays.
     """
-    gone = near_duplicates(docs, **settings).where("not kept").select("doc_id", "text_hash").distinct().alias("gone")
+    gone = materialize(near_duplicates(docs, **settings).where("not kept").select("doc_id", "text_hash").distinct(), "gone").alias("gone")
     key = (F.col("rows.doc_id").cast("long") == F.col("gone.doc_id")) & (F.xxhash64(F.col("rows.text").cast("string")) == F.col("gone.text_hash"))
     return docs.alias("rows").join(gone, key, "left_anti")
