@@ -90,6 +90,12 @@ def did_placebo(panel: DataFrame, units: DataFrame, *, rounds: int = 20, first:
     return did_att(did_deltas(panel, spun.withColumn("week", week), entity=entity, **kw), ["round"])
 
 
+def placebo_summary(placebo: DataFrame, real: DataFrame) -> DataFrame:
+    """Mean and deviation of the placebo rounds' ATT, and how many deviations the real one lies from their mean."""
+    p = placebo.agg(F.count("att").alias("rounds"), F.avg("att").alias("placebo_mean"), F.stddev_samp("att").alias("placebo_std"))
+    return p.crossJoin(real.select("att")).select("rounds", "placebo_mean", "placebo_std", "att", ratio(c("att") - c("placebo_mean"), c("placebo_std")).alias("z"))
+
+
 def event_profile(window: DataFrame, *, group: str, value: str = "sales_card_mm") -> DataFrame:
     """Mean, standard error and count by event time and group."""
     return window.groupBy("event_time", group).agg(F.avg(value).alias("mean"), ratio(F.stddev_samp(value), F.sqrt(F.count(value))).alias("sem"), F.count(value).alias("n"), F.avg(ratio(c("customer_new"), c("customer"))).alias("nc"))
@@ -171,6 +177,12 @@ def granger_entities(panel: DataFrame, *, entity: str = "public_id", order: str
     return rows.groupBy(entity).applyInPandas(run, f"{entity} string, direction string, f double, p double")
 
 
+def granger_shares(tests: DataFrame, *, entity: str = "public_id", level: float = 0.05) -> DataFrame:
+    """Entities tested, and the shares significant in either direction and in both."""
+    sides = tests.groupBy(entity).agg(*(F.coalesce(F.max(F.when(c("direction") == d, (c("p") < level).cast("int"))), F.lit(0)).alias(d) for d in ("a_to_b", "b_to_a")))
+    return sides.agg(F.count("*").alias("n"), F.avg("a_to_b").alias("a_to_b"), F.avg("b_to_a").alias("b_to_a"), F.avg(c("a_to_b") * c("b_to_a")).alias("both"))
+
+
 def kaplan_meier(df: DataFrame, *, group: str, time: str, event: str, min_n: int = 20, min_events: int = 5) -> DataFrame:
     """At risk, events and survival by group and time; groups with enough rows and events. A step in which all go has survival 0."""
     steps = df.where(c(time) > 0).groupBy(group, time).agg(F.count("*").alias("m"), F.sum(event).alias("d"))
@@ -199,7 +211,7 @@ def log_rank(df: DataFrame, *, group: str, time: str, event: str) -> DataFrame:
 
 
 def cox(df: DataFrame, xs: list[str], *, time: str, event: str, ridge: float = 0.01, steps: int = 8) -> DataFrame:
-    """Proportional hazards (Breslow ties, ridge): coefficient, hazard ratio, standard error, z, p.
+    """Proportional hazards (Breslow ties, ridge): coefficient, hazard ratio with its 95 % interval, standard error, z, p.
 
     Each Newton step is one aggregate by time for the risk-set sums and one row
     of totals; only that row reaches the driver. Predictors should be scaled.
@@ -223,7 +235,7 @@ def cox(df: DataFrame, xs: list[str], *, time: str, event: str, ridge: float = 0
             break
     rows.unpersist()
     se = np.sqrt(np.diag(np.linalg.inv(info)))
-    return df.sparkSession.createDataFrame([(x, float(b), float(np.exp(b)), float(s), float(b / s), normal_two_sided(b / s)) for x, b, s in zip(xs, beta, se, strict=True)], "predictor string, coefficient double, hazard_ratio double, se double, z double, p double")
+    return df.sparkSession.createDataFrame([(x, float(b), float(np.exp(b)), float(np.exp(b - 1.959964 * s)), float(np.exp(b + 1.959964 * s)), float(s), float(b / s), normal_two_sided(b / s)) for x, b, s in zip(xs, beta, se, strict=True)], "predictor string, coefficient double, hazard_ratio double, low double, high double, se double, z double, p double")
 
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:

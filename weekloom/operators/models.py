@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,14 +28,31 @@ def kmeans(df: DataFrame, array: str, k: int, *, key: str, seed: int = 1, train:
     return stages.fit(as_vector(df if train is None else train)).transform(as_vector(df)).select(key, "cluster", "v")
 
 
-def gaussian_mixture(df: DataFrame, columns: list[str], k: int, *, key: str, seed: int = 1) -> tuple[DataFrame, float]:
-    """key and cluster of every row, and the BIC of a full-covariance mixture."""
+def gaussian_mixture(df: DataFrame, columns: list[str], k: int, *, key: str, seed: int = 1) -> tuple[DataFrame, float, float]:
+    """key and cluster of every row, and the BIC and AIC of a full-covariance mixture."""
     rows = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip").transform(df)
     rows = StandardScaler(inputCol="raw", outputCol="v", withMean=True).fit(rows).transform(rows)
     model = GaussianMixture(featuresCol="v", predictionCol="cluster", k=k, seed=seed).fit(rows)
     d, n = len(columns), rows.count()
     free = k - 1 + k * d + k * d * (d + 1) / 2
-    return model.transform(rows).select(key, "cluster"), free * float(np.log(max(n, 1))) - 2 * model.summary.logLikelihood
+    fit = -2 * model.summary.logLikelihood
+    return model.transform(rows).select(key, "cluster"), free * float(np.log(max(n, 1))) + fit, 2 * free + fit
+
+
+def stability(df: DataFrame, array: str, k: int, *, key: str, seeds: tuple[int, ...] = (1, 2, 3), samples: int = 2) -> DataFrame:
+    """Mean NMI and ARI over all pairs of seeds, and mean ARI of the first seed's clusters with fits on hashed 80 % samples."""
+    from itertools import combinations
+
+    from weekloom.operators.statistics import agreement
+
+    def named(x: DataFrame, name: str) -> DataFrame:
+        return x.select(key, c("cluster").alias(name))
+
+    fits = [named(kmeans(df, array, k, key=key, seed=s), f"c{i}") for i, s in enumerate(seeds)]
+    pairs = reduce(DataFrame.union, (agreement(fits[i].join(fits[j], key), f"c{i}", f"c{j}") for i, j in combinations(range(len(seeds)), 2)))
+    part = lambda b: df.where(F.pmod(F.xxhash64(key, F.lit(b)), F.lit(10)) < 8)
+    drawn = reduce(DataFrame.union, (agreement(fits[0].join(named(kmeans(df, array, k, key=key, seed=seeds[0], train=part(b)), "b"), key), "c0", "b") for b in range(samples)))
+    return pairs.agg(F.avg("nmi").alias("nmi"), F.avg("ari").alias("ari")).crossJoin(drawn.agg(F.avg("ari").alias("sample_ari")))
 
 
 def internal_indices(clustered: DataFrame) -> DataFrame:
@@ -129,8 +147,18 @@ def classifier(kind: str, *, seed: int = 1):
     return OneVsRest(classifier=GBTClassifier(**common, maxIter=5, maxDepth=3, seed=seed), **common, weightCol="_w")
 
 
+def _probabilities(names: list[str], kind: str):
+    """Map from class to probability; the one-against-the-rest scores of boosted trees go through the logistic function and are scaled to one."""
+    if kind in ("logistic", "forest"):
+        p = vector_to_array("probability")
+    else:
+        odds = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
+        p = F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
+    return F.map_from_arrays(F.array(*map(F.lit, names)), p)
+
+
 def cross_validated(df: DataFrame, columns: list[str], label: str, *, key: str, kind: str = "logistic", fold: str = "fold", boost: dict[str, float] | None = None) -> DataFrame:
-    """Out-of-fold class predictions (key, fold, truth, pred), with class-balanced weights and optional extra weight of classes.
+    """Out-of-fold class predictions (key, fold, truth, pred, probability by class), with class-balanced weights and optional extra weight of classes.
 
     A pipeline is fitted for each fold, on the other folds.
     """
@@ -141,7 +169,7 @@ def cross_validated(df: DataFrame, columns: list[str], label: str, *, key: str,
     out = None
     for (k,) in rows.select(fold).distinct().orderBy(fold).collect():
         model = Pipeline(stages=[*assembled(columns, label), classifier(kind)]).fit(rows.where(c(fold) != k))
-        part = model.transform(rows.where(c(fold) == k)).select(key, fold, c(label).alias("truth"), F.element_at(F.array(*map(F.lit, names)), (c("prediction") + 1).cast("int")).alias("pred"))
+        part = model.transform(rows.where(c(fold) == k)).select(key, fold, c(label).alias("truth"), F.element_at(F.array(*map(F.lit, names)), (c("prediction") + 1).cast("int")).alias("pred"), _probabilities(names, kind).alias("probability"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -175,6 +203,12 @@ def regress_folds(df: DataFrame, columns: list[str], target: str, *, key: str, k
     return out
 
 
+def save_model(df: DataFrame, columns: list[str], label: str, path: str, *, kind: str = "logistic") -> None:
+    """Fit a classifier on all rows and save its pipeline, which takes new rows without a label."""
+    rows = df.select(label, *(c(x).cast("double").alias(x) for x in columns)).withColumn("_w", F.lit(1.0))
+    Pipeline(stages=[*assembled(columns, label), classifier(kind)]).fit(rows).write().overwrite().save(path)
+
+
 def score_new(model_path: str, df: DataFrame) -> DataFrame:
     """Score unseen features with a saved pipeline."""
     return PipelineModel.load(model_path).transform(df)

@@ -72,6 +72,16 @@ def _(s, d):
     return op.did_placebo(p, units(p))
 
 
+_PLACEBO = "WITH " + _DD.format(week="12 + ((CAST(public_id AS BIGINT) + 1) * 2654435761 + round * 40503) % 28", extra=", round", from_=", (SELECT unnest(range(1, 21)) AS round)", key=", round") + f", pr AS (SELECT round, {_ATT} FROM dl GROUP BY 1)"
+_REAL = "WITH " + _DD.format(week="gc_week", extra="", from_="", key="") + f" SELECT {_ATT} FROM dl"
+
+
+@query("did_placebo_summary", f"SELECT p.rounds, round(p.m, 5) AS placebo_mean, round(p.sd, 5) AS placebo_std, round(r.att, 5) AS att, round((r.att - p.m) / p.sd, 3) AS z FROM (SELECT count(att) AS rounds, avg(att) AS m, stddev_samp(att) AS sd FROM ({_PLACEBO} SELECT * FROM pr)) p, ({_REAL}) r", tables="p", digits=5)
+def _(s, d):
+    p = panel(s, d)
+    return op.placebo_summary(op.did_placebo(p, units(p)), op.did_att(op.did_deltas(p, units(p)))).withColumn("z", F.round("z", 3))
+
+
 _PR = f"{_EW}, pr AS (SELECT event_time, CAST(has_gc AS INTEGER) AS grp, avg(sales_card_mm) AS mean, stddev_samp(sales_card_mm) / sqrt(count(*)) AS sem, count(*) AS n, avg(customer_new / nullif(customer, 0)::DOUBLE) AS nc FROM ew GROUP BY 1, 2)"
 
 
@@ -124,6 +134,11 @@ def _(s, d):
     return op.granger_entities(panel(s, d))
 
 
+@query("granger_share")
+def _(s, d):
+    return op.granger_shares(op.granger_entities(panel(s, d)))
+
+
 _KM = f"{_CU}, sv AS (SELECT c_mktsegment AS grp, survival_weeks AS t, CAST(weeks_to_end >= 26 AS INTEGER) AS e FROM k JOIN customer ON o_custkey = c_custkey WHERE survival_weeks > 0)"
 
 

@@ -227,13 +227,20 @@ def _(s, d):
     return op.recovery_slope(panel(s, d)).withColumn("low_week", c("low_week").cast("long"))
 
 
-@query("gaf_matrix", """WITH q AS (SELECT vec_id, embedding[1:12] AS e FROM embeddings), z AS (SELECT vec_id, list_transform(e, lambda v: 2 * (v::DOUBLE - list_min(e)::DOUBLE) / (list_max(e)::DOUBLE - list_min(e)::DOUBLE) - 1) AS a FROM q)
-SELECT vec_id, round(a[1] * a[2] - sqrt(greatest(1 - a[1] * a[1], 0)) * sqrt(greatest(1 - a[2] * a[2], 0)), 6) AS g01, round(a[3] * a[12] - sqrt(greatest(1 - a[3] * a[3], 0)) * sqrt(greatest(1 - a[12] * a[12], 0)), 6) AS g2b FROM z""")
+@query("gaf_matrix", """WITH q AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), z AS (SELECT vec_id, list_transform(e, lambda v: 2 * (v - list_min(e)) / (list_max(e) - list_min(e)) - 1) AS a FROM q),
+y AS (SELECT vec_id, a, list_transform(a, lambda v: sqrt(greatest(1 - v * v, 0))) AS b FROM z), i AS (SELECT vec_id, a, b, unnest(range(1, len(a) + 1)) AS i FROM y), j AS (SELECT vec_id, a, b, i, unnest(range(1, len(a) + 1)) AS j FROM i), g AS (SELECT vec_id, i, j, a[i] * a[j] - b[i] * b[j] AS g FROM j)
+SELECT vec_id, count(*) AS cells, round(sum(g), 6) AS total, round(sum(g * g), 6) AS squares, round(sum(g * i * (j + 1)), 6) AS weighted, round(sum(g) FILTER (WHERE i = 1 AND j = 2), 6) AS g01 FROM g GROUP BY 1""")
 def _(s, d):
     from weekloom.sources.tables import read_table
 
-    v = read_table(s, d, "embeddings").select("vec_id", F.slice(c("embedding").cast("array<double>"), 1, 12).alias("seq"))
-    return op.gaf_matrix(v, entity="vec_id").select("vec_id", c("gaf")[0][1].alias("g01"), c("gaf")[2][11].alias("g2b"))
+    v = read_table(s, d, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("seq"))
+    flat = F.flatten("gaf")
+    n = F.size("gaf")
+    # position k of the flat matrix is row k / n and column k % n
+    weighted = F.transform(flat, lambda g, k: g * (F.floor(k / n) + 1) * (k % n + 2))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    out = op.gaf_matrix(v, entity="vec_id")
+    return out.select("vec_id", F.size(flat).cast("long").alias("cells"), total(flat).alias("total"), total(F.transform(flat, lambda g: g * g)).alias("squares"), total(weighted).alias("weighted"), c("gaf")[0][1].alias("g01"))
 
 
 @query("pct_change_lag4", "SELECT public_id, week_idx, round((sales_card - lag(sales_card, 4) OVER o) / nullif(lag(sales_card, 4) OVER o, 0), 6) AS pct_change FROM panel WINDOW o AS (PARTITION BY public_id ORDER BY week_idx)", tables="p")

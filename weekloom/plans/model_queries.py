@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from weekloom.operators import evaluate as ev
 from weekloom.operators import features as ft
 from weekloom.operators import models as op
-from weekloom.operators.statistics import agreement
 from weekloom.plans.binding import panel, query
 from weekloom.plans.label_queries import SL, labelled
-from weekloom.sources.tables import read_table
+from weekloom.sources.tables import fresh_folder, read_table
 
 c = F.col
 
@@ -31,8 +30,8 @@ def _(s, d):
 
 @query("clu_gmm")
 def _(s, d):
-    out, bic = op.gaussian_mixture(ft.feat_cv_mdd(panel(s, d)), ["cv", "mdd"], 2, key="public_id")
-    return out.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("bic", F.lit(bic))
+    out, bic, aic = op.gaussian_mixture(ft.feat_cv_mdd(panel(s, d)), ["cv", "mdd"], 2, key="public_id")
+    return out.groupBy("cluster").agg(F.count("*").alias("n")).withColumns({"bic": F.lit(bic), "aic": F.lit(aic)})
 
 
 @query("clu_shape")
@@ -51,8 +50,7 @@ def _(s, d):
 
 @query("clu_stability")
 def _(s, d):
-    a, b = (op.kmeans(vectors(s, d), "embedding", 6, key="vec_id", seed=k).select("vec_id", c("cluster").alias(f"c{k}")) for k in (1, 2))
-    return agreement(a.join(b, "vec_id"), "c1", "c2")
+    return op.stability(vectors(s, d), "embedding", 6, key="vec_id")
 
 
 @query("clu_profile", "SELECT CAST(public_id AS BIGINT) % 3 AS cluster, week_idx, count(*) AS n, round(avg(sales_card_mm), 6) AS mean, round(median(sales_card_mm), 6) AS median FROM panel GROUP BY 1, 2", tables="p")
@@ -83,6 +81,20 @@ def _(s, d):
     return ev.overall_metrics(op.cross_validated(early(s, d), ["slope_all", "sales_mean", "sales_cv"], "outcome_3", key="public_id", kind="forest"), "truth", "pred")
 
 
+@query("model_cv_boosted")
+def _(s, d):
+    return ev.overall_metrics(op.cross_validated(early(s, d), ["slope_all", "sales_mean", "sales_cv"], "outcome_3", key="public_id", kind="boosted"), "truth", "pred")
+
+
+@query("model_score_new")
+def _(s, d):
+    """The pipeline is fitted on two folds, saved, and scores the third."""
+    rows = early(s, d)
+    path = fresh_folder(s, "model")
+    op.save_model(rows.where("fold <> 0"), ["slope_all", "sales_mean", "sales_cv"], "outcome_3", path)
+    return op.score_new(path, rows.where("fold = 0")).select("public_id", "prediction")
+
+
 @query("model_ablation")
 def _(s, d):
     return op.ablation(early(s, d), {"level": ["sales_mean"], "trend": ["sales_mean", "slope_all"]}, "outcome_3", key="public_id")

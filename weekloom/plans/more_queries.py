@@ -1,4 +1,4 @@
-"""Queries of windows of any length, turns, agreement and hazards."""
+"""Queries of windows of any length, turns, agreement and hazards, and of files written and read back."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from weekloom.plans.binding import panel, query, slope_sql
 from weekloom.plans.causal_queries import spells
 from weekloom.plans.district_queries import _SPEC, specs
 from weekloom.plans.label_queries import SL, labelled
-from weekloom.sources.tables import read_table, weekly
+from weekloom.sources.tables import fresh_folder, meta, read_dimension, read_encoded_csv, read_table, weekly, write_encoded_csv, write_table
 
 c = F.col
 
@@ -56,3 +56,40 @@ def _(s, d):
 def _(s, d):
     means = [F.avg(F.when(c("outcome_3") == x.title(), c("slope_all_mm"))).alias(x) for x in ("growth", "decline", "stable")]
     return labelled(s, d).groupBy((c("public_id").cast("long") % 3).alias("cluster")).agg(*means)
+
+
+@query("agree_conditional", """WITH x AS (SELECT o_orderpriority AS g, o_orderstatus AS a, year(o_orderdate) AS b, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2, 3), t AS (SELECT g, sum(n) AS t, sum(n * ln(n)) AS rj FROM x GROUP BY 1),
+ra AS (SELECT g, sum(n * ln(n)) AS ra FROM (SELECT g, a, sum(n) AS n FROM x GROUP BY 1, 2) GROUP BY 1), rb AS (SELECT g, sum(n * ln(n)) AS rb FROM (SELECT g, b, sum(n) AS n FROM x GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT t, ln(t) - ra / t AS ha, ln(t) - rb / t AS hb, ln(t) - rj / t AS hj FROM t JOIN ra USING (g) JOIN rb USING (g))
+SELECT round(sum(t * CASE WHEN ha + hb > 1e-12 THEN (ha + hb - hj) / ((ha + hb) / 2) ELSE 1 END) / sum(t), 6) AS nmi FROM h""")
+def _(s, d):
+    o = read_table(s, d, "orders").select("o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("y"))
+    return st.conditional_agreement(o, "o_orderstatus", "y", "o_orderpriority")
+
+
+@query("src_dim_csv", "SELECT public_id, category, round(area, 6) AS area, CAST(date_trunc('month', open_date) AS DATE) AS open_date FROM meta", tables="m")
+def _(s, d):
+    path = fresh_folder(s, "dimension")
+    write_table(meta(s, d).select("public_id", "category", "area", "open_month"), path, kind="csv")
+    return read_dimension(s, path, "public_id string, category string, area double, open_month string").select("public_id", "category", "area", "open_date")
+
+
+@query("src_encoded_csv", "SELECT 'nation' AS kind, n_nationkey AS k, n_name || ' 서울' AS name FROM nation UNION ALL SELECT 'region', r_regionkey, r_name || ' 부산' FROM region")
+def _(s, d):
+    out = None
+    for kind, korean in (("nation", "서울"), ("region", "부산")):
+        t = read_table(s, d, kind)
+        path = fresh_folder(s, kind)
+        write_encoded_csv(t.select(F.lit(kind).alias("kind"), c(f"{kind[0]}_{kind}key").cast("long").alias("k"), F.concat(c(f"{kind[0]}_name"), F.lit(f" {korean}")).alias("name"), F.lit(1).alias("other")), path, encoding="cp949")
+        rows = read_encoded_csv(s, [path], "kind string, k long, name string, other int", ["kind", "k", "name"], encoding="cp949")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("sink_tables", "SELECT o_orderstatus AS status, year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2", digits=2)
+def _(s, d):
+    o = read_table(s, d, "orders").groupBy(c("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    parquet, text = fresh_folder(s, "result"), fresh_folder(s, "result_csv")
+    write_table(o, parquet, by=["status"])
+    write_table(s.read.parquet(parquet).select("status", "year", "n", "total"), text, kind="csv")
+    return s.read.csv(text, header=True, schema="status string, year int, n long, total double")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +42,49 @@ def read_dimension(spark: SparkSession, path: str | list[str], schema: str | T.S
 
 
 def read_encoded_csv(spark: SparkSession, paths: list[str], schema: str | T.StructType, columns: list[str], *, encoding: str = "UTF-8") -> DataFrame:
-    """Chosen columns of several CSV files of one encoding. Korean cp949 needs ``spark.sql.legacy.javaCharsets``, set here for the read."""
-    if encoding.lower() in ("cp949", "ms949", "euc-kr"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.csv(paths, schema=schema, header=True, encoding=encoding).select(*columns)
+    """Chosen columns of several CSV files of one encoding; bytes that it doesn't have become U+FFFD.
+
+    Spark reads the Unicode encodings and ISO-8859-1. Others that keep commas,
+    quotes and line ends apart from other bytes, such as Korean cp949, are read
+    byte by byte and decoded in Arrow batches; no setting of the session changes.
+    """
+    if encoding.upper() in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16LE", "UTF-16BE"):
+        return spark.read.csv(paths, schema=schema, header=True, encoding=encoding).select(*columns)
+    rows = spark.read.csv(paths, schema=schema, header=True, encoding="ISO-8859-1").select(*columns)
+    decoded = _recode("latin-1", encoding)
+    return rows.select(*(decoded(F.col(n)).alias(n) if t == "string" else F.col(n) for n, t in rows.dtypes))
+
+
+def write_encoded_csv(df: DataFrame, path: str, *, encoding: str) -> None:
+    """CSV with a header in an encoding that Spark's writer doesn't have; characters outside it become question marks."""
+    encoded = _recode(encoding, "latin-1")
+    df.select(*(encoded(F.col(n)).alias(n) if t == "string" else F.col(n) for n, t in df.dtypes)).write.mode("overwrite").csv(path, header=True, encoding="ISO-8859-1")
+
+
+def _recode(was: str, becomes: str):
+    """Text whose characters stand for the bytes of one encoding, as text of another."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x if x is None else x.encode(was, "replace").decode(becomes, "replace"))
+
+    return run
+
+
+_own: dict[str, str] = {}
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``; where that is unset, on a local master, in a temporary folder of this process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _own:
+            _own["dir"] = tempfile.mkdtemp(prefix="weekloom-")
+            atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
+        shared = "file://" + _own["dir"]
+    return f"{shared.rstrip('/')}/weekloom-{uuid.uuid4().hex}/{name}"
 
 
 def write_table(df: DataFrame, path: str, *, kind: str = "parquet", by: list[str] | None = None) -> None:
@@ -56,21 +101,21 @@ def weekly_from_lines(lines: DataFrame, orders: DataFrame) -> DataFrame:
     rows = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_suppkey").cast("string").alias("public_id"), F.to_date(F.date_trunc("week", day)).alias("date_id"), cents.alias("cents"), tax.alias("tax"), "l_returnflag", "l_linestatus", F.weekday(day).alias("dow"), "o_custkey"
     )
-    rows = rows.withColumn("first_week", F.min("date_id").over(Window.partitionBy("public_id", "o_custkey")))
-    total = F.sum("cents")
-
-    def part(condition: str):
-        return F.coalesce(F.expr(f"sum(cents) FILTER (WHERE {condition})"), F.lit(0))
-
-    return rows.groupBy("public_id", "date_id").agg(
-        (total / 100.0).alias("sales_card"),
-        (part("l_returnflag = 'A'") / 100.0).alias("sales_invoice"),
-        (part("l_returnflag = 'R'") / 100.0).alias("sales_delivery"),
+    # One row for each entity, week and customer: sums and both customer counts follow from it without distinct counts.
+    visits = rows.groupBy("public_id", "date_id", "o_custkey").agg(
+        F.sum("cents").alias("cents"), F.sum("tax").alias("tax"),
+        *(F.coalesce(F.expr(f"sum(cents) FILTER (WHERE {condition})"), F.lit(0)).alias(name) for name, condition in (("invoice", "l_returnflag = 'A'"), ("delivery", "l_returnflag = 'R'"), ("noon", "l_linestatus = 'O'"), ("weekend", "dow >= 5"))),
+    )
+    visits = visits.withColumn("first_week", F.min("date_id").over(Window.partitionBy("public_id", "o_custkey")))
+    return visits.groupBy("public_id", "date_id").agg(
+        (F.sum("cents") / 100.0).alias("sales_card"),
+        (F.sum("invoice") / 100.0).alias("sales_invoice"),
+        (F.sum("delivery") / 100.0).alias("sales_delivery"),
         (F.sum("tax") / 100.0).alias("purchase_card"),
-        F.count_distinct("o_custkey").alias("customer"),
-        F.expr("count(DISTINCT CASE WHEN first_week = date_id THEN o_custkey END)").alias("customer_new"),
-        F.expr("try_divide(1.0D * coalesce(sum(cents) FILTER (WHERE l_linestatus = 'O'), 0), sum(cents))").alias("before_noon_sales"),
-        F.expr("try_divide(1.0D * coalesce(sum(cents) FILTER (WHERE dow >= 5), 0), sum(cents))").alias("weekend_sales"),
+        F.count("o_custkey").alias("customer"),
+        F.count_if((F.col("first_week") == F.col("date_id")) & F.col("o_custkey").isNotNull()).alias("customer_new"),
+        F.expr("try_divide(1.0D * sum(noon), sum(cents))").alias("before_noon_sales"),
+        F.expr("try_divide(1.0D * sum(weekend), sum(cents))").alias("weekend_sales"),
     )
 
 
