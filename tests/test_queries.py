@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: Thresholds that the smallest tables don't reach, so that no row is left.
 MAY_BE_EMPTY = {"rank_top_k", "pat_triadic_share", "uni_paradox", "agg_industry_region", "granger_entity", "dist_relative_ratio", "surv_km", "pat_one_mode_edges", "ews_segment", "nearest_match_strata"}
 #: A sample of the fitted queries; all of them take minutes.
-SLOW = {"model_cv_forest", "model_ablation", "model_regress_bucket", "clu_gmm", "model_regress", "mnlogit_outcome", "psm_score", "model_cv"}
+SLOW = {"model_cv_forest", "model_ablation", "model_regress_bucket", "clu_gmm", "model_regress", "mnlogit_outcome", "psm_score", "model_cv", "model_cv_boosted", "model_score_new"}
 
 
 def plain(v):
