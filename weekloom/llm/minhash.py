@@ -108,12 +108,13 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     reps = sketches.where("n_shingles > 0").join(classes, (sketches.node == classes.node) & (F.col("doc_id") == F.col("class_id")), "left_semi").dropDuplicates(["node"])
 
     # Halves that two classes share; a pair needs one on either side.
-    halves = save(reps.select("node", F.explode("left_half").alias("half"), F.lit(True).alias("is_left")).union(reps.select("node", F.explode("right_half"), F.lit(False))), "halves")
+    halves = save(reps.select("node", "doc_id", F.explode("left_half").alias("half"), F.lit(True).alias("is_left")).union(reps.select("node", "doc_id", F.explode("right_half"), F.lit(False))), "halves")
     shared = save(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    both = halves.join(shared, "half").groupBy("node").agg(F.expr("collect_list(half) filter (where is_left)").alias("l"), F.expr("collect_list(half) filter (where not is_left)").alias("r"), F.sum("n").alias("weight"))
+    both = halves.join(shared, "half").groupBy("node", "doc_id").agg(F.expr("collect_list(half) filter (where is_left)").alias("l"), F.expr("collect_list(half) filter (where not is_left)").alias("r"), F.sum("n").alias("weight"))
     near = save(both.where("size(l) > 0 and size(r) > 0"), "near")
-    keys = save(near.select("node", "weight", F.explode("l").alias("l"), "r").select("node", "weight", "l", F.explode("r").alias("r")).select("node", "weight", F.xxhash64("l", "r").alias("key")), "keys")
-    hubs = save(keys.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node")).alias("best")).where("n > 1").select("key", F.col("best.node").alias("hub")), "hubs")
+    keys = save(near.select("node", "doc_id", "weight", F.explode("l").alias("l"), "r").select("node", "doc_id", "weight", "l", F.explode("r").alias("r")).select("node", "doc_id", "weight", F.xxhash64("l", "r").alias("key")), "keys")
+    # The first of those that share most: in a group of edited copies often the one they were made from.
+    hubs = save(keys.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "node")).alias("best")).where("n > 1").select("key", F.col("best.node").alias("hub")), "hubs")
     members = save(keys.join(hubs, "key").select("key", "hub", "node"), "members")
     stars = save(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
