@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.columns import ratio, slope
 from weekloom.functions.pvalues import chi2_upper, f_upper, normal_two_sided
+from weekloom.operators.ordering import bucket_count, bucket_edges, bucket_of
 
 c = F.col
 
@@ -36,35 +37,32 @@ def pre_features(window: DataFrame, *, entity: str = "public_id", value: str = "
     return window.where("event_time < 0").groupBy(entity).agg(F.count(s).alias("n"), F.avg(s).alias("pre_mean"), F.stddev_pop(s).alias("pre_std"), slope(s, c("event_time")).alias("pre_slope")).where(c("n") >= least)
 
 
-def nearest_match(treated: DataFrame, control: DataFrame, *, key: str, score: str, stratum: str | None = None, caliper: float | None = None, buckets: int = 64) -> DataFrame:
+def nearest_match(treated: DataFrame, control: DataFrame, *, key: str, score: str, stratum: str | None = None, caliper: float | None = None, buckets: int | None = None) -> DataFrame:
     """For each treated row the control with the nearest score, with replacement; ties go to the smaller score, then id.
 
-    Rows are ordered by score inside buckets of scores (and strata). A bucket
-    hands its last and first control on to the buckets around it through a
-    table of a row for each bucket, so no task sorts all scores.
+    Equal scores of a stratum are one point, with its smallest control; points
+    are ordered inside buckets of scores. A bucket hands its last and first
+    control on to the buckets around it through a table of a row for each
+    bucket, so no task sorts all scores. Rows without an id or score, or with a
+    null stratum, have no match.
     """
-    keys = ["_st"]
-    a = treated.select(c(key).alias("id"), c(score).cast("double").alias("s"), (c(stratum) if stratum else F.lit(0)).alias("_st"), F.lit(1).alias("t"))
-    b = control.select(c(key).alias("id"), c(score).cast("double").alias("s"), (c(stratum) if stratum else F.lit(0)).alias("_st"), F.lit(0).alias("t"))
-    both = a.union(b).where("s IS NOT NULL AND id IS NOT NULL")
-    edges = both.agg(F.array_distinct(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], F.lit(1000))).alias("_e"))
-    both = both.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_e", lambda e: c("s") > e))).drop("_e")
-    pick = F.struct("s", "id")
-    # equal scores: the smallest control id stands for all
-    mine = F.when(c("t") == 0, pick)
-    ends = both.where("t = 0").groupBy(*keys, "_b").agg(F.min(pick).alias("first"), F.max(F.struct("s", (-c("id")).alias("m"))).alias("last"))
-    ends = ends.withColumn("last", F.struct(c("last.s").alias("s"), (-c("last.m")).alias("id")))
-    grid = both.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "left")
-    across = Window.partitionBy(*keys).orderBy("_b")
-    grid = grid.withColumn("from_left", F.last("last", True).over(across.rowsBetween(Window.unboundedPreceding, -1))).withColumn("from_right", F.first("first", True).over(across.rowsBetween(1, Window.unboundedFollowing))).drop("first", "last")
-    w = Window.partitionBy(*keys, "_b")
-    left = F.max(F.when(c("t") == 0, F.struct("s", (-c("id")).alias("m")))).over(w.orderBy("s").rangeBetween(Window.unboundedPreceding, 0))
-    right = F.min(mine).over(w.orderBy("s").rangeBetween(0, Window.unboundedFollowing))
-    rows = both.withColumn("l", left).withColumn("r", right).where("t = 1").join(F.broadcast(grid), [*keys, "_b"], "left")
-    rows = rows.withColumn("l", F.coalesce(F.when(c("l").isNotNull(), F.struct(c("l.s").alias("s"), (-c("l.m")).alias("id"))), c("from_left"))).withColumn("r", F.coalesce("r", "from_right"))
+    buckets = buckets or bucket_count(treated)
+    place = c(stratum) if stratum else F.lit(0)
+    a, b = (x.select(c(key).alias("id"), c(score).cast("double").alias("s"), place.alias("_st")).where("id IS NOT NULL AND s IS NOT NULL") for x in (treated, control))
+    points = a.select("_st", "s", F.lit(None).alias("id"), F.lit(True).alias("t")).union(b.select("_st", "s", "id", F.lit(False)))
+    points = points.groupBy("_st", "s").agg(F.min("id").alias("id"), F.bool_or("t").alias("t"))
+    edges = points.agg(bucket_edges("s", buckets).alias("_e"))
+    points = points.crossJoin(F.broadcast(edges)).select("_st", "s", "t", bucket_of(c("s"), c("_e"), buckets).alias("_b"), F.when(c("id").isNotNull(), F.struct("s", "id")).alias("here"))
+    ends = points.groupBy("_st", "_b").agg(F.min("here").alias("first"), F.max("here").alias("last"))
+    across = Window.partitionBy("_st").orderBy("_b")
+    grid = ends.select("_st", "_b", F.last("last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("from_left"), F.first("first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("from_right"))
+    w = Window.partitionBy("_st", "_b").orderBy("s")
+    met = points.withColumns({"l": F.max("here").over(w.rowsBetween(Window.unboundedPreceding, 0)), "r": F.min("here").over(w.rowsBetween(0, Window.unboundedFollowing))}).where("t").join(grid, ["_st", "_b"])
+    met = met.select("_st", "s", F.coalesce("l", "from_left").alias("l"), F.coalesce("r", "from_right").alias("r"))
     dl, dr = c("s") - c("l.s"), c("r.s") - c("s")
-    use_left = dr.isNull() | (dl <= dr)
-    out = rows.select(c("id").alias("treated"), F.when(use_left & dl.isNotNull(), c("l.id")).otherwise(c("r.id")).alias("control"), F.when(use_left & dl.isNotNull(), dl).otherwise(dr).alias("distance")).where("control IS NOT NULL")
+    use_left = dl.isNotNull() & (dr.isNull() | (dl <= dr))
+    met = met.select("_st", "s", F.when(use_left, c("l.id")).otherwise(c("r.id")).alias("control"), F.when(use_left, dl).otherwise(dr).alias("distance")).where("control IS NOT NULL")
+    out = a.join(met, ["_st", "s"]).select(c("id").alias("treated"), "control", "distance")
     return out if caliper is None else out.where(c("distance") < caliper)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.columns import ratio
+from weekloom.operators.ordering import quantiles
 from weekloom.operators.statistics import average_ranks
 
 c = F.col
@@ -33,7 +34,7 @@ def fold_hashed(df: DataFrame, *, key: str, k: int = 5, seed: int = 0) -> DataFr
 def split_time(df: DataFrame, opened: str) -> DataFrame:
     """train: opened no later than the median opening day; else test."""
     day = F.datediff(opened, F.lit("1970-01-01").cast("date"))
-    med = df.agg(F.percentile(day, F.lit(0.5)).alias("_m"))
+    med = quantiles(df, [day], [0.5]).select(c("_q")[0][0].alias("_m"))
     return df.crossJoin(F.broadcast(med)).withColumn("part", F.when(day <= c("_m"), "train").otherwise("test")).drop("_m")
 
 
@@ -148,7 +149,7 @@ def brier_ap(df: DataFrame, score: str, truth: Column) -> DataFrame:
 
 def top_decile(df: DataFrame, score: str, truth: Column, *, at: float = 0.9) -> DataFrame:
     """Rate among scores at or above the percentile, base rate and lift."""
-    cut = df.agg(F.percentile(score, F.lit(at)).alias("_q"))
+    cut = quantiles(df, [score], [at]).select(c("_q")[0][0].alias("_q"))
     rows = df.select(c(score), truth.cast("int").alias("_t")).crossJoin(F.broadcast(cut))
     top = F.avg(F.when(c(score) >= c("_q"), c("_t")))
     return rows.agg(F.count_if(c(score) >= c("_q")).alias("n_top"), top.alias("top_rate"), F.avg("_t").alias("base_rate"), ratio(top, F.avg("_t")).alias("lift"))

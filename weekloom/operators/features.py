@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.columns import cv, r2, ratio, slope, slope_where
+from weekloom.operators.ordering import quantiles
 
 c = F.col
 
@@ -153,7 +154,7 @@ def feat_first_n_next(panel: DataFrame, *, entity: str = "public_id", order: str
 
 def feat_meta(meta: DataFrame, *, entity: str = "public_id", at: str = "2001-12-31", upper: float = 0.99) -> DataFrame:
     """Tenure in months and its log, age flags, delivery flag, log of the area clipped above."""
-    top = meta.agg(F.percentile("area", F.lit(upper)).alias("_top"))
+    top = quantiles(meta, ["area"], [upper]).select(c("_q")[0][0].alias("_top"))
     months = F.datediff(F.lit(at).cast("date"), "open_date") / 30.4375
     number = F.expr("try_cast(regexp_extract(age, '^([0-9]+)', 1) AS INT)")
     return meta.crossJoin(F.broadcast(top)).select(entity, months.alias("tenure_months"), F.log1p(F.greatest(months, F.lit(0.0))).alias("log_tenure"), (number <= 30).cast("int").alias("young"), (number >= 50).cast("int").alias("senior"), (c("delivery_link") > 0).cast("int").alias("delivers"), F.log1p(F.greatest(F.least("area", "_top"), F.lit(0.0))).alias("log_area"))

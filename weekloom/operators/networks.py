@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.columns import ratio
+from weekloom.operators.ordering import quantiles
 
 c = F.col
 
@@ -103,5 +104,5 @@ def impute_unit(df: DataFrame, *, unit: str, year: str, value: str, count: bool
 
 def paradox_cases(df: DataFrame, *, high: str, low: str, at: float = 0.75) -> DataFrame:
     """Rows in the upper part of one measure and the lower part of another."""
-    q = df.agg(F.percentile(high, F.lit(at)).alias("_h"), F.percentile(low, F.lit(1 - at)).alias("_l"))
+    q = quantiles(df, [high, low], [at, 1 - at]).select(c("_q")[0][0].alias("_h"), c("_q")[1][1].alias("_l"))
     return df.crossJoin(F.broadcast(q)).where((c(high) >= c("_h")) & (c(low) <= c("_l"))).drop("_h", "_l")

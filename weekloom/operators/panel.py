@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.columns import ratio
+from weekloom.operators.ordering import quantiles
 
 KEYWORDS = [("ECONOMY", "budget"), ("PROMO", "promotion"), ("STANDARD", "standard"), ("MEDIUM", "medium"), ("LARGE", "large"), ("SMALL", "small")]
 
@@ -47,15 +48,15 @@ def entity_means(df: DataFrame, *, entity: str = "public_id", value: str = "sale
 def filter_outlier_pct(df: DataFrame, *, entity: str = "public_id", value: str = "sales_card", low: float = 0.025, high: float = 0.975) -> DataFrame:
     """entity, mean and removed: whether the entity's mean lies outside the two percentiles of all means."""
     means = entity_means(df, entity=entity, value=value)
-    edges = means.agg(F.percentile("mean", F.array(F.lit(low), F.lit(high))).alias("q"))  # one row
+    edges = quantiles(means, ["mean"], [low, high], name="q").select(F.col("q")[0].alias("q"))  # one row
     return means.crossJoin(F.broadcast(edges)).select(entity, "mean", ((F.col("mean") < F.col("q")[0]) | (F.col("mean") > F.col("q")[1])).alias("removed"))
 
 
 def filter_outlier_iqr(df: DataFrame, columns: list[str], *, k: float = 1.5) -> DataFrame:
     """Rows inside Q1 - k IQR .. Q3 + k IQR, one column after another: later quartiles see the earlier filters."""
     for c in columns:
-        q = df.agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-        a, b = F.col("_q")[0], F.col("_q")[1]
+        q = quantiles(df, [c], [0.25, 0.75])
+        a, b = F.col("_q")[0][0], F.col("_q")[0][1]
         df = df.crossJoin(F.broadcast(q)).where(F.col(c).between(a - k * (b - a), b + k * (b - a))).drop("_q")
     return df
 
@@ -66,7 +67,7 @@ def winsorize(df: DataFrame, column: str, *, low: float = 0.01, high: float = 0.
     if entity:
         joined = df.join(df.groupBy(entity).agg(q.alias("_q")), entity)
     else:
-        joined = df.crossJoin(F.broadcast(df.agg(q.alias("_q"))))
+        joined = df.crossJoin(F.broadcast(quantiles(df, [column], [low, high]).select(F.col("_q")[0].alias("_q"))))
     c = F.col(column)
     return joined.withColumn(column, F.when(c.isNotNull(), F.least(F.greatest(c, F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
 
@@ -79,20 +80,18 @@ def low_variance_columns(df: DataFrame, columns: list[str], *, at_most: float =
 
 def standardize_cols(df: DataFrame, columns: list[str], *, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Median-impute, winsorize and z-score (ddof 1) columns; a constant one becomes 0."""
-    for c in columns:
-        med = df.agg(F.percentile(c, F.lit(0.5)).alias("_m"))
-        df = df.crossJoin(F.broadcast(med)).withColumn(c, F.coalesce(c, "_m")).drop("_m")
-        df = winsorize(df, c, low=low, high=high)
-        ms = df.agg(F.avg(c).alias("_a"), F.stddev_samp(c).alias("_s"))
-        df = df.crossJoin(F.broadcast(ms)).withColumn(c, F.when(F.coalesce("_s", F.lit(0.0)) <= 1e-12, 0.0).otherwise((F.col(c) - F.col("_a")) / F.col("_s"))).drop("_a", "_s")
-    return df
+    q = F.col("_q")
+    df = df.crossJoin(F.broadcast(quantiles(df, columns, [0.5]))).withColumns({x: F.coalesce(x, q[k][0]) for k, x in enumerate(columns)}).drop("_q")
+    df = df.crossJoin(F.broadcast(quantiles(df, columns, [low, high]))).withColumns({x: F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), q[k][0]), q[k][1])) for k, x in enumerate(columns)}).drop("_q")
+    ms = df.agg(F.array(*(F.struct(F.avg(x).alias("a"), F.stddev_samp(x).alias("s")) for x in columns)).alias("_q"))
+    return df.crossJoin(F.broadcast(ms)).withColumns({x: F.when(F.coalesce(q[k]["s"], F.lit(0.0)) <= 1e-12, 0.0).otherwise((F.col(x) - q[k]["a"]) / q[k]["s"]) for k, x in enumerate(columns)}).drop("_q")
 
 
 def impute_const_median(df: DataFrame, column: str, *, group: str | None = None, constant: float | None = None) -> DataFrame:
     """Fill nulls by a constant, else the group's median, else the column's median."""
     if constant is not None:
         return df.withColumn(column, F.coalesce(column, F.lit(constant)))
-    med = df.agg(F.percentile(column, F.lit(0.5)).alias("_m"))
+    med = quantiles(df, [column], [0.5]).select(F.col("_q")[0][0].alias("_m"))
     out = df.crossJoin(F.broadcast(med))
     if group:
         out = out.join(df.groupBy(group).agg(F.percentile(column, F.lit(0.5)).alias("_g")), group, "left")

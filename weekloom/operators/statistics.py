@@ -6,25 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.columns import ratio
+from weekloom.operators.ordering import running_counts
 
 c = F.col
 
 
-def average_ranks(df: DataFrame, value: str, *, by: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """(by, value, n, rank, ties) for each distinct value: rank is the mean rank of its ties.
-
-    Equal values are counted first; the running count then goes over buckets of
-    distinct values, with each bucket's base from the bucket totals, so that no
-    single task sorts all values.
-    """
-    keys = by or []
-    counts = df.where(c(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    edges = counts.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], F.lit(1000)).alias("_e"))
-    placed = counts.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter(F.array_distinct("_e"), lambda e: c(value) > e))).drop("_e")
-    sums = placed.groupBy(*keys, "_b").agg(F.sum("n").alias("_s"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*keys, "_b", "_base")
-    inside = F.sum("n").over(Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn("_c", inside).join(F.broadcast(base), [*keys, "_b"]).select(*keys, value, "n", (c("_base") + c("_c") - (c("n") - 1) / 2).alias("rank"))
+def average_ranks(df: DataFrame, value: str, *, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """(by, value, n, rank) for each distinct value: rank is the mean rank of its ties."""
+    return running_counts(df, value, by=by, buckets=buckets).select(*(by or []), value, "n", (c("upto") - (c("n") - 1) / 2).alias("rank"))
 
 
 def anova(df: DataFrame, group: str, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.columns import ratio
+from weekloom.operators.ordering import quantiles
 
 c = F.col
 
@@ -28,7 +29,7 @@ def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
 
 def bin_right_closed(df: DataFrame, column: str, n: int, *, name: str = "bin") -> DataFrame:
     """Equal-frequency bins with interpolated, right-closed edges; equal edges count once, so bins may be fewer. First bin is 1."""
-    edges = df.agg(F.array_distinct(F.percentile(column, F.array(*(F.lit(i / n) for i in range(1, n))))).alias("_e"))
+    edges = quantiles(df, [column], [i / n for i in range(1, n)]).select(F.array_distinct(c("_q")[0]).alias("_e"))
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(c(column).isNotNull(), 1 + F.size(F.filter("_e", lambda e: c(column) > e)))).drop("_e")
 
 
