@@ -28,6 +28,8 @@ SKETCH = "doc_id long, text_hash long, n_shingles long, node long, left_half arr
 SETS = "node long, shingles array<long>"
 #: Comparisons with one central document that meet in one task's key at most, about.
 HUB_PAIRS = 64
+#: Bits of one part of the bitmap of rows that go (the size of Spark's bitmaps), bits for each such row, and parts at most (32 MB).
+MARK_BITS, MARKS_A_ROW, MARK_PARTS = 32_768, 16, 8_192
 
 
 def _nodes(value: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -179,8 +181,24 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that ``near_duplicates`` keeps; its ``settings`` are passed on.
 
-    A row goes by its doc_id and its text, so that another text of the same doc_id stays.
+    A row goes by its doc_id and its text, so that another text of the same
+    doc_id stays. A bitmap of the rows that go, of ``MARK_PARTS`` parts of 4 KB
+    at most, is broadcast; rows whose bit is unset stay where they are, and only
+    the others move to be looked up among those that go.
     """
-    gone = materialize(near_duplicates(docs, **settings).where("not kept").select("doc_id", "text_hash").distinct(), "gone").alias("gone")
-    key = (F.col("rows.doc_id").cast("long") == F.col("gone.doc_id")) & (F.xxhash64(F.col("rows.text").cast("string")) == F.col("gone.text_hash"))
-    return docs.alias("rows").join(gone, key, "left_anti")
+    gone = materialize(near_duplicates(docs, **settings).where("not kept").select("doc_id", "text_hash").distinct(), "gone")
+    parts = min(MARK_PARTS, gone.count() * MARKS_A_ROW // MARK_BITS + 1)
+
+    def mark(doc_id, text_hash):
+        return F.pmod(F.xxhash64(doc_id, text_hash), F.lit(parts * MARK_BITS))
+
+    marks = gone.select(F.shiftright(mark("doc_id", "text_hash"), 15).alias("part"), mark("doc_id", "text_hash").bitwiseAND(MARK_BITS - 1).alias("bit"))
+    marks = marks.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    doc_id, text_hash = F.col("rows.doc_id").cast("long"), F.xxhash64(F.col("rows.text").cast("string"))
+    at = mark(doc_id, text_hash)
+    byte = F.substring(F.col("marks.bits"), F.shiftright(at.bitwiseAND(MARK_BITS - 1), 3).cast("int") + 1, F.lit(1))
+    marked = docs.alias("rows").join(F.broadcast(marks.alias("marks")), F.shiftright(at, 15) == F.col("marks.part"), "left")
+    unsure = F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), at.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    key = (doc_id == F.col("gone.doc_id")) & (text_hash == F.col("gone.text_hash"))
+    looked_up = marked.where(unsure).select("rows.*").alias("rows").join(gone.alias("gone"), key, "left_anti")
+    return marked.where(~unsure).select("rows.*").union(looked_up)
