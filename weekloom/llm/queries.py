@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import contamination, language, licenses, linefreq, minhash, neurallm, pieces, quality, tokenbin, warc
+from weekloom.llm import contamination, language, lexical, licenses, linefreq, minhash, neurallm, pagetext, periodic, pieces, quality, tokenbin, warc
 from weekloom.llm.tables import crc_remainder, read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -67,8 +67,30 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neurallm.lm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page; null or empty html gives an empty text."""
+    pages = pagetext.main_text(read_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id and score of the ten best documents of every benchmark item."""
+    return lexical.lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), top=10)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest run of every document and digests of all its runs and its collapsed text; the contract repeats words in a tenth of the documents first."""
+    found = periodic.periodic_runs(periodic.with_planted_runs(read_table(spark, sf_dir, "documents")))
+    best, lines = F.col("best"), F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.withColumn("best", periodic.strongest("runs")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_language_id, op4_piece_encoding, op5_contamination, op6_warc, op7_token_files, op8_license_scan, op9_line_dedup, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op3_language_id, op4_piece_encoding, op5_contamination, op6_warc, op7_token_files, op8_license_scan, op9_line_dedup, op10_lm_scores, op11_main_text, op12_lexical_search, op13_periodic_runs)}
 
 
 _TRIMMED = "trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -105,5 +127,20 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 """
 
 
+_LEXICAL_SEARCH = """
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+asked AS (SELECT item_id, t, count(*) AS repeats FROM (SELECT item_id, unnest(w) AS t FROM items) GROUP BY item_id, t),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM docs WHERE len(w) > 0),
+tfs AS (SELECT row, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY row, t),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * N + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tfs, totals GROUP BY t, N),
+parts AS (SELECT tfs.row, docs.doc_id, tfs.t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * CAST(len(w) AS BIGINT) * N) // L)))) AS part
+          FROM tfs JOIN docs ON docs.row = tfs.row JOIN weights ON weights.t = tfs.t, totals),
+scores AS (SELECT item_id, row, doc_id, CAST(sum(repeats * part) AS BIGINT) AS score FROM asked JOIN parts ON asked.t = parts.t GROUP BY item_id, row, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": _NEAR_DUPLICATES, "op9_line_dedup": _LINE_DEDUP}
+    return {"op12_lexical_search": _LEXICAL_SEARCH, "op2_near_duplicates": _NEAR_DUPLICATES, "op9_line_dedup": _LINE_DEDUP}
