@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weekloom.operators import causal, models
+from weekloom.operators import causal, models, survival
 from weekloom.operators import statistics as st
 from weekloom.sources.tables import read_encoded_csv, write_encoded_csv
 
@@ -24,7 +24,7 @@ def spells(n=60):
 
 def test_cox_equals_loops(spark):
     rows = spells()
-    got = {r.predictor: r for r in causal.cox(spark.createDataFrame(rows, "t int, e int, g string, a double, b double"), ["a", "b"], time="t", event="e", ridge=0.01).collect()}
+    got = {r.predictor: r for r in survival.cox(spark.createDataFrame(rows, "t int, e int, g string, a double, b double"), ["a", "b"], time="t", event="e", ridge=0.01, ties="breslow").collect()}
     x, t, e = np.array([r[3:] for r in rows]), np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     beta = np.zeros(2)
     for _ in range(30):

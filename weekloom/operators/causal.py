@@ -1,4 +1,4 @@
-"""Events, matching, difference-in-differences, panel regressions and survival."""
+"""Events, matching, difference-in-differences, panel regressions and survival curves."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.columns import ratio, slope
 from weekloom.functions.pvalues import chi2_upper, f_upper, normal_two_sided
-from weekloom.operators.ordering import bucket_count, bucket_edges, bucket_of
+from weekloom.operators.ordering import bucket_count, bucket_edges, bucket_of, quantiles, running_sums
+from weekloom.operators.regression import demeaned_twoway
 
 c = F.col
 
@@ -21,7 +22,7 @@ def detect_rise(panel: DataFrame, *, entity: str = "public_id", order: str = "we
     rows = rows.withColumn("_pos", F.row_number().over(w.orderBy(order)) - 1).withColumn("_roll", F.when(F.count("_nc").over(back) >= 2, F.avg("_nc").over(back)))
     out = rows.groupBy(entity).agg((F.avg(F.when(c("_pos") < base, c("_nc"))) + 1e-6).alias("pre_nc_avg"), F.max_by(F.when(c("_pos") >= start, F.struct(F.round("_roll", 12).alias("v"), c(order).alias("w"))), F.when(c("_pos") >= start, F.struct(F.round("_roll", 12), -c("_pos")))).alias("b"))
     out = out.select(entity, "pre_nc_avg", c("b.v").alias("peak_nc_avg"), c("b.w").alias("gc_week"), ((c("b.v") - c("pre_nc_avg")) / c("pre_nc_avg")).alias("gc_delta"))
-    cut = out.agg(F.percentile("gc_delta", F.lit(1 - share)).alias("_q"))
+    cut = quantiles(out, ["gc_delta"], [1 - share]).select(c("_q")[0][0].alias("_q"))
     return out.crossJoin(F.broadcast(cut)).withColumn("has_gc", c("gc_delta") >= c("_q")).drop("_q")
 
 
@@ -106,7 +107,7 @@ def profile_difference(profile: DataFrame, *, group: str) -> DataFrame:
     return d.agg((F.avg(F.when(c("event_time") >= 0, c("d"))) - F.avg(pre)).alias("did"), ratio(F.avg(pre), F.stddev_samp(pre) / F.sqrt(F.count(pre))).alias("pre_t"))
 
 
-def _demeaned(df: DataFrame, columns: list[str], entity: str, period: str) -> DataFrame:
+def _demeaned(df: DataFrame, columns: list[str], *, entity: str, period: str) -> DataFrame:
     rows = df.select(entity, period, *columns).dropna()
     times = rows.groupBy(period).agg(*(F.avg(x).alias(f"_t_{x}") for x in columns))
     grand = rows.agg(*(F.avg(x).alias(f"_g_{x}") for x in columns))
@@ -115,9 +116,13 @@ def _demeaned(df: DataFrame, columns: list[str], entity: str, period: str) -> Da
     return out.select(entity, *((c(x) - c(f"_e_{x}") - c(f"_t_{x}") + c(f"_g_{x}")).alias(x) for x in columns))
 
 
-def fe_twoway(df: DataFrame, y: str, xs: list[str], *, entity: str = "public_id", period: str = "week_idx") -> DataFrame:
-    """Least squares after one pass of two-way demeaning: n and a coefficient for each predictor. One row of sums reaches the driver."""
-    rows = _demeaned(df, [y, *xs], entity, period)
+def fe_twoway(df: DataFrame, y: str, xs: list[str], *, entity: str = "public_id", period: str = "week_idx", exact: bool = False) -> DataFrame:
+    """Least squares after two-way demeaning: n and a coefficient for each predictor. One row of sums reaches the driver.
+
+    One pass of demeaning is exact only where every entity has every period;
+    ``exact`` takes both effects out of panels with gaps too.
+    """
+    rows = (demeaned_twoway if exact else _demeaned)(df, [y, *xs], entity=entity, period=period)
     beta, n, _ = _normal_equations(rows, y, xs)
     return df.sparkSession.createDataFrame([(n, *map(float, beta))], "n long, " + ", ".join(f"`{x}` double" for x in xs))
 
@@ -132,9 +137,9 @@ def _normal_equations(rows: DataFrame, y: str, xs: list[str]) -> tuple[np.ndarra
     return inverse @ xy, r["n"], inverse
 
 
-def fe_cluster_se(df: DataFrame, y: str, xs: list[str], *, entity: str = "public_id", period: str = "week_idx") -> DataFrame:
+def fe_cluster_se(df: DataFrame, y: str, xs: list[str], *, entity: str = "public_id", period: str = "week_idx", exact: bool = True) -> DataFrame:
     """Coefficients of ``fe_twoway`` with standard errors clustered by entity, z and p."""
-    rows = _demeaned(df, [y, *xs], entity, period).cache()
+    rows = (demeaned_twoway if exact else _demeaned)(df, [y, *xs], entity=entity, period=period).cache()
     beta, n, inverse = _normal_equations(rows, y, xs)
     resid = c(y) - sum((c(x) * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0))
     scores = rows.withColumn("_r", resid).groupBy(entity).agg(*(F.sum(c(x) * c("_r")).alias(f"s{i}") for i, x in enumerate(xs)))
@@ -196,8 +201,8 @@ def log_rank(df: DataFrame, *, group: str, time: str, event: str) -> DataFrame:
     """Multivariate log-rank chi-square and p: observed, expected and covariance sums by time in Spark, a small solve on the driver."""
     names = [r[0] for r in df.where(c(time) > 0).select(group).distinct().orderBy(group).collect()]
     steps = df.where(c(time) > 0).groupBy(time).agg(F.sum(event).alias("d"), F.count("*").alias("m"), *(F.sum((c(group) == g).cast("int")).alias(f"m{i}") for i, g in enumerate(names)), *(F.sum(F.when(c(group) == g, c(event)).otherwise(0)).alias(f"d{i}") for i, g in enumerate(names)))
-    down = Window.orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)  # a row for each time, not for each subject
-    steps = steps.withColumn("n", F.sum("m").over(down)).withColumns({f"n{i}": F.sum(f"m{i}").over(down) for i in range(len(names))}).where("d > 0")
+    at_risk = {"m": "n"} | {f"m{i}": f"n{i}" for i in range(len(names))}
+    steps = running_sums(steps, time, list(at_risk), descending=True).withColumnsRenamed(at_risk).where("d > 0")
     k = len(names)
     v = c("d") * (c("n") - c("d")) / F.nullif(c("n") - 1, F.lit(0))
     cells = [F.coalesce(F.sum(v * (c(f"n{i}") / c("n")) * ((1.0 if i == j else 0.0) - c(f"n{j}") / c("n"))), F.lit(0.0)).alias(f"v{i}_{j}") for i in range(k) for j in range(k)]
@@ -208,34 +213,6 @@ def log_rank(df: DataFrame, *, group: str, time: str, event: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(k, x, chi2_upper(x, k - 1) if k > 1 else None)], "groups int, chi2 double, p double")
 
 
-def cox(df: DataFrame, xs: list[str], *, time: str, event: str, ridge: float = 0.01, steps: int = 8) -> DataFrame:
-    """Proportional hazards (Breslow ties, ridge): coefficient, hazard ratio with its 95 % interval, standard error, z, p.
-
-    Each Newton step is one aggregate by time for the risk-set sums and one row
-    of totals; only that row reaches the driver. Predictors should be scaled.
-    """
-    rows = df.where(c(time) > 0).select(c(time).alias("t"), c(event).alias("e"), *(c(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs))).dropna().cache()
-    k, n = len(xs), max(rows.count(), 1)
-    beta, info = np.zeros(k), np.eye(k)
-    for _ in range(steps):
-        w = F.exp(sum((c(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0)))
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        by_time = rows.groupBy("t").agg(F.sum("e").alias("d"), F.sum(w).alias("s"), *(F.sum(w * c(f"x{i}")).alias(f"s{i}") for i in range(k)), *(F.sum(w * c(f"x{i}") * c(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs), *(F.sum(c("e") * c(f"x{i}")).alias(f"g{i}") for i in range(k)))
-        down = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-        names = ["s", *(f"s{i}" for i in range(k)), *(f"s{i}_{j}" for i, j in pairs)]
-        risk = by_time.withColumns({f"r_{m}": F.sum(m).over(down) for m in names}).where("d > 0")
-        r = risk.agg(*(F.sum(c(f"g{i}") - c("d") * c(f"r_s{i}") / c("r_s")).alias(f"u{i}") for i in range(k)), *(F.sum(c("d") * (c(f"r_s{i}_{j}") / c("r_s") - c(f"r_s{i}") * c(f"r_s{j}") / (c("r_s") * c("r_s")))).alias(f"h{i}_{j}") for i, j in pairs)).first()
-        u = np.array([r[f"u{i}"] or 0.0 for i in range(k)]) - ridge * n * beta
-        info = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) + ridge * n * np.eye(k)
-        move = np.linalg.solve(info, u)
-        beta = beta + move
-        if np.abs(move).max() < 1e-9:
-            break
-    rows.unpersist()
-    se = np.sqrt(np.diag(np.linalg.inv(info)))
-    return df.sparkSession.createDataFrame([(x, float(b), float(np.exp(b)), float(np.exp(b - 1.959964 * s)), float(np.exp(b + 1.959964 * s)), float(s), float(b / s), normal_two_sided(b / s)) for x, b, s in zip(xs, beta, se, strict=True)], "predictor string, coefficient double, hazard_ratio double, low double, high double, se double, z double, p double")
-
-
 def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     """Coefficients with an intercept, R2 and n, from cross-product sums."""
     rows = df.select(y, *xs).dropna().withColumn("_one", F.lit(1.0))
@@ -252,55 +229,6 @@ def coefficient_signs(df: DataFrame, *, predictor: str, coefficient: str, p: str
     return df.groupBy(predictor).agg(F.count("*").alias("n"), ratio(F.greatest(F.count_if(s > 0), F.count_if(s < 0)), F.count("*")).alias("sign_agreement"), F.avg((c(p) < 0.05).cast("int")).alias("significant"))
 
 
-def irls_logit(df: DataFrame, group: list[str], y: str, x: str, *, rounds: int = 25) -> DataFrame:
-    """One-predictor logit of each group by iterated least squares: intercept, coefficient, standard error, n."""
-    import pandas as pd
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        m, t = np.column_stack([np.ones(len(g)), g[x].to_numpy(float)]), g[y].to_numpy(float)
-        b = np.zeros(2)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(m @ b, -30, 30)))
-            info = m.T @ (m * (p * (1 - p))[:, None]) + 1e-9 * np.eye(2)
-            move = np.linalg.solve(info, m.T @ (t - p))
-            b = b + move
-            if np.abs(move).max() < 1e-10:
-                break
-        return pd.DataFrame([[*g[group].iloc[0], b[0], b[1], float(np.sqrt(np.linalg.inv(info)[1, 1])), len(g)]], columns=[*group, "intercept", "coefficient", "se", "n"])
-
-    types = dict(df.dtypes)
-    return df.select(*group, y, x).dropna().groupBy(*group).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in group) + ", intercept double, coefficient double, se double, n long")
-
-
-def controlled_profile(window: DataFrame, y: str, group: Column, dummies: dict[str, Column], *, width: int = 8) -> DataFrame:
-    """Event-study regression: post period, group, their product, and dummies as controls."""
-    rows = window.withColumns({"post": (c("event_time") >= 0).cast("double"), "treated": group.cast("double")} | {k: v.cast("double") for k, v in dummies.items()})
-    return ols(rows.withColumn("did", c("post") * c("treated")), y, ["post", "treated", "did", *dummies])
-
-
-def ph_check(df: DataFrame, xs: list[str], *, time: str, event: str) -> DataFrame:
-    """Correlation of each predictor's Schoenfeld residuals with the rank of event time, and its p: far from 0 speaks against proportional hazards."""
-    from weekloom.functions.pvalues import t_two_sided
-    from weekloom.operators.statistics import average_ranks, safe_corr
-
-    beta = {r["predictor"]: r["coefficient"] for r in cox(df, xs, time=time, event=event).collect()}
-    rows = df.where(c(time) > 0).select(c(time).cast("double").alias("t"), c(event).alias("e"), *(c(x).cast("double").alias(x) for x in xs)).dropna()
-    w = F.exp(sum((c(x) * beta[x] for x in xs), F.lit(0.0)))
-    sums = rows.groupBy("t").agg(F.sum(w).alias("s"), *(F.sum(w * c(x)).alias(f"s_{x}") for x in xs))
-    down = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    means = sums.select("t", *((F.sum(f"s_{x}").over(down) / F.sum("s").over(down)).alias(f"m_{x}") for x in xs))
-    events = rows.where("e = 1")
-    ranks = average_ranks(events, "t").select("t", c("rank").alias("r"))
-    resid = events.join(means, "t").join(ranks, "t").select("r", *((c(x) - c(f"m_{x}")).alias(x) for x in xs))
-    one = resid.agg(F.count("*").alias("n"), *(safe_corr(x, "r").alias(x) for x in xs)).first()
-    out = []
-    for x in xs:
-        r, n = one[x], one["n"]
-        p = t_two_sided(r * ((n - 2) / max(1 - r * r, 1e-12)) ** 0.5, n - 2) if r is not None and n > 2 else None
-        out.append((x, r, p, n))
-    return df.sparkSession.createDataFrame(out, "predictor string, correlation double, p double, n_events long")
-
-
 def trough_lead(panel: DataFrame, turns: DataFrame, *, entity: str = "public_id", order: str = "week_idx", width: int = 12) -> DataFrame:
     """Mean z paths of sales and customers around each entity's turn from fall to rise, and the weeks by which customers recover first."""
     from weekloom.operators.panel import zscore_entity

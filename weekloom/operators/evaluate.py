@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.columns import ratio
-from weekloom.operators.ordering import quantiles
+from weekloom.operators.ordering import group_quantiles, quantiles, running_counts
 from weekloom.operators.statistics import average_ranks
 
 c = F.col
@@ -21,9 +21,16 @@ def hashed(key: str, seed: int = 0) -> Column:
 
 
 def fold_stratified(df: DataFrame, label: str, *, key: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """Fold by rank of the hashed key inside each class, so classes are spread evenly."""
-    w = Window.partitionBy(label).orderBy(hashed(key, seed), key)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    """Fold by rank of the hashed key inside each class, so classes are spread evenly.
+
+    Ranks are counted in buckets of the hash, so no task sorts a class; rows of
+    one hash go by their key. A null class is a class.
+    """
+    rows = df.withColumns({"_h": hashed(key, seed), "_l": F.struct(label)})
+    before = running_counts(rows, "_h", by=["_l"]).select("_l", "_h", (c("upto") - c("n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_l", "_h").orderBy(key)) - 1
+    out = rows.withColumn("_place", place).join(before, ["_l", "_h"], "left")
+    return out.withColumn("fold", ((F.coalesce("_before", F.lit(0)) + c("_place")) % k).cast("int")).select(*df.columns, "fold")
 
 
 def fold_hashed(df: DataFrame, *, key: str, k: int = 5, seed: int = 0) -> DataFrame:
@@ -156,5 +163,7 @@ def top_decile(df: DataFrame, score: str, truth: Column, *, at: float = 0.9) ->
 
 
 def segment_scores(df: DataFrame, segment: str, score: str, *, least: int = 500, keep: int = 8) -> DataFrame:
-    out = df.groupBy(segment).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.percentile(score, F.lit(0.5)).alias("median"), F.stddev_samp(score).alias("sd"))
+    medians = group_quantiles(df, [segment], score, [0.5]).select(c(segment).alias("_s"), c("_q")[0].alias("median"))
+    out = df.groupBy(segment).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("sd"))
+    out = out.join(medians, c(segment).eqNullSafe(c("_s")), "left").select(segment, "n", "mean", "median", "sd")
     return out.where(c("n") >= least).orderBy(F.desc("mean"), segment).limit(keep)

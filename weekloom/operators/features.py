@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.columns import cv, r2, ratio, slope, slope_where
-from weekloom.operators.ordering import quantiles
+from weekloom.operators.ordering import group_quantiles, quantiles
 
 c = F.col
 
@@ -221,7 +221,9 @@ def traj_matrix_filter(panel: DataFrame, *, entity: str = "public_id", order: st
     """Weeks present for enough entities, entities with enough of those weeks, gaps filled by the week's median."""
     rows = panel.where(c(order) < weeks).select(entity, order, value)
     n = rows.agg(F.count_distinct(entity).alias("_n"))
-    cols = rows.groupBy(order).agg(F.count(value).alias("k"), F.percentile(value, F.lit(0.5)).alias("med")).crossJoin(F.broadcast(n)).where(c("k") >= week_share * c("_n")).select(order, "med")
+    medians = group_quantiles(rows, [order], value, [0.5]).select(c(order).alias("_o"), c("_q")[0].alias("med"))
+    counts = rows.groupBy(order).agg(F.count(value).alias("k")).crossJoin(F.broadcast(n)).where(c("k") >= week_share * c("_n"))
+    cols = counts.join(medians, c(order).eqNullSafe(c("_o")), "left").select(order, "med")
     kept = rows.join(F.broadcast(cols), order)
     enough = kept.groupBy(entity).agg(F.count(value).alias("k")).crossJoin(F.broadcast(cols.agg(F.count("*").alias("_w")))).where(c("k") >= entity_share * c("_w")).select(entity)
     return enough.crossJoin(F.broadcast(cols)).join(rows, [entity, order], "left").select(entity, order, F.coalesce(value, "med").alias(value))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.columns import ratio
+from weekloom.operators.ordering import quantiles
 
 c = F.col
 
@@ -30,14 +31,14 @@ def label_12class(df: DataFrame, *, early: str = "slope_early_mm", late: str = "
 
 def label_6class(df: DataFrame, *, early: str = "slope_early_mm", late: str = "slope_late_mm", drop: str = "mdd") -> DataFrame:
     """Sign pair and high or low drawdown by the median; a falling pair counts as one whatever its drawdown."""
-    med = df.agg(F.percentile(drop, F.lit(0.5)).alias("_m"))
+    med = quantiles(df, [drop], [0.5]).select(c("_q")[0][0].alias("_m"))
     pair = F.concat(F.when(c(early) > 0, "U").otherwise("D"), F.when(c(late) > 0, "U").otherwise("D"))
     return df.crossJoin(F.broadcast(med)).withColumn("label6", F.concat_ws("_", pair, F.when(c(drop) > c("_m"), "high").otherwise("low"))).drop("_m")
 
 
 def label_terciles(df: DataFrame, *, slope: str = "slope_late_mm") -> DataFrame:
     """X in the upper third of late slopes, D in the lower, else U."""
-    q = df.agg(F.percentile(slope, F.array(F.lit(0.33), F.lit(0.67))).alias("_q"))
+    q = quantiles(df, [slope], [0.33, 0.67]).select(c("_q")[0].alias("_q"))
     return df.crossJoin(F.broadcast(q)).withColumn("udx", F.when(c(slope) >= c("_q")[1], "X").when(c(slope) <= c("_q")[0], "D").otherwise("U")).drop("_q")
 
 
@@ -69,7 +70,7 @@ def label_growth_binary(df: DataFrame, *, rate: str = "growth_rate", at: float =
 
 def label_alt_rules(df: DataFrame, *, growth: str = "edge_growth", weeks: str = "weeks") -> DataFrame:
     """Three other rules: upper/lower 30 %, upper/lower 20 %, and sign gated by the median of weeks."""
-    q = df.agg(F.percentile(growth, F.array(*map(F.lit, (0.3, 0.7, 0.2, 0.8)))).alias("_q"), F.percentile(weeks, F.lit(0.5)).alias("_m"))
+    q = quantiles(df, [growth, weeks], [0.3, 0.7, 0.2, 0.8, 0.5]).select(c("_q")[0].alias("_q"), c("_q")[1][4].alias("_m"))
     g = c(growth)
     tri = lambda lo, hi: F.when(g >= hi, "Growth").when(g <= lo, "Decline").otherwise("Stable")
     gated = F.when(c(weeks) < c("_m"), "Stable").when(g > 0, "Growth").when(g < 0, "Decline").otherwise("Stable")

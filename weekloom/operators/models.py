@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.operators.ordering import group_quantiles
 
 c = F.col
 
@@ -221,28 +222,12 @@ def propensity(df: DataFrame, columns: list[str], treated: str, *, key: str) ->
     return model.transform(rows).select(key, treated, vector_to_array("_p")[1].alias("score"))
 
 
-def multinomial(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Multinomial logit: coefficient of each predictor and class, McFadden's pseudo R2 and AIC."""
-    rows = df.select(label, *(c(x).cast("double").alias(x) for x in columns)).withColumn("_w", F.lit(1.0))
-    prepared = Pipeline(stages=assembled(columns, label)).fit(rows)
-    data = prepared.transform(rows).cache()
-    model = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", maxIter=100).fit(data)
-    names = prepared.stages[-1].labels
-    p = model.transform(data).select("_label", vector_to_array("probability").alias("p"))
-    fitted = p.agg(F.sum(F.ln(F.greatest(F.element_at("p", (c("_label") + 1).cast("int")), F.lit(1e-12)))).alias("ll")).first()["ll"]
-    counts = data.groupBy("_label").agg(F.count("*").cast("double").alias("n"))
-    null = counts.crossJoin(counts.agg(F.sum("n").alias("t"))).agg(F.sum(c("n") * F.ln(c("n") / c("t"))).alias("ll")).first()["ll"]
-    data.unpersist()
-    k = (len(names) - 1) * (len(columns) + 1)
-    m = model.coefficientMatrix.toArray()
-    out = [(names[i], x, float(m[i, j] - m[0, j]), float(1 - fitted / null) if null else None, float(2 * k - 2 * fitted)) for i in range(1, len(names)) for j, x in enumerate(columns)]
-    return df.sparkSession.createDataFrame(out, "class string, predictor string, coefficient double, pseudo_r2 double, aic double")
-
-
 def cluster_profile(clustered: DataFrame, panel: DataFrame, *, key: str, order: str, value: str) -> DataFrame:
     """Mean, median and count by cluster and position: the empirical centroid in long form."""
     rows = panel.join(clustered.select(key, "cluster"), key)
-    return rows.groupBy("cluster", order).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"))
+    medians = group_quantiles(rows, ["cluster", order], value, [0.5]).select(c("cluster").alias("_c"), c(order).alias("_o"), c("_q")[0].alias("median"))
+    means = rows.groupBy("cluster", order).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return means.join(medians, c("cluster").eqNullSafe(c("_c")) & c(order).eqNullSafe(c("_o")), "left").drop("_c", "_o")
 
 
 def cluster_outcomes(df: DataFrame, cluster: str, outcome: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.columns import ratio
-from weekloom.operators.ordering import quantiles
+from weekloom.operators.ordering import quantiles, running_counts
 
 c = F.col
 
@@ -67,8 +67,11 @@ def match_rate(left: DataFrame, right: DataFrame, *, key: str) -> DataFrame:
 
 
 def percentile_panel(df: DataFrame, *, unit: str, year: str, value: str) -> DataFrame:
-    """0-100 percentile rank inside each year."""
-    return df.withColumn("pct", 100 * F.percent_rank().over(Window.partitionBy(year).orderBy(value)))
+    """0-100 percentile rank inside each year, counted in buckets of values; nulls come first, and a null year is a year."""
+    lowest = F.coalesce(c(value).cast("double"), F.lit(float("-inf")))
+    rows = df.withColumns({"_v": lowest, "_y": F.struct(year)})
+    rank = running_counts(rows, "_v", by=["_y"]).select("_y", "_v", F.when(c("total") > 1, (c("upto") - c("n")) / (c("total") - 1)).otherwise(0.0).alias("_r"))
+    return rows.join(rank, ["_y", "_v"]).withColumn("pct", 100 * c("_r")).select(*df.columns, "pct")
 
 
 def mobility(ranked: DataFrame, *, unit: str, year: str) -> DataFrame:

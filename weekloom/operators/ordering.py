@@ -44,6 +44,40 @@ def running_counts(df: DataFrame, value: str, *, by: list[str] | None = None, bu
     return joined.select(*keys, value, "n", (c("_base") + c("_c")).alias("upto"), "total")
 
 
+def running_sums(df: DataFrame, value: str, columns: list[str], *, descending: bool = False, buckets: int | None = None) -> DataFrame:
+    """``df``, which has a row for each distinct value, with each column replaced by its sum over the rows up to (or, descending, from) its value."""
+    buckets = buckets or bucket_count(df)
+    edges = df.agg(bucket_edges(value, buckets).alias("_e"))
+    placed = df.crossJoin(F.broadcast(edges)).withColumn("_b", bucket_of(c(value), c("_e"), buckets)).drop("_e")
+    way = F.desc if descending else F.asc
+    before = Window.partitionBy(F.lit(0)).orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    base = placed.groupBy("_b").agg(*(F.sum(x).alias(x) for x in columns)).select("_b", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_base_{x}") for x in columns))
+    inside = Window.partitionBy("_b").orderBy(way(value)).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({x: F.sum(x).over(inside) for x in columns}).join(F.broadcast(base), "_b")
+    return out.withColumns({x: c(x) + c(f"_base_{x}") for x in columns}).drop("_b", *(f"_base_{x}" for x in columns))
+
+
+def group_quantiles(df: DataFrame, by: list[str], value: str | Column, points: list[float], *, name: str = "_q", buckets: int | None = None) -> DataFrame:
+    """by and an array of the group's exact, linearly interpolated quantiles at ``points``, as ``percentile`` gives them.
+
+    Nulls aren't counted, and a group without values has no row. A null key is a
+    group of its own. No task holds a group's distinct values.
+    """
+    rows = df.select(F.struct(*(c(x) for x in by)).alias("_k"), (c(value) if isinstance(value, str) else value).cast("double").alias("_v"))
+    seen = running_counts(rows, "_v", by=["_k"], buckets=buckets)
+    return seen.groupBy("_k").agg(_ends(points).alias("_ends")).select("_k.*", _between("_ends").alias(name))
+
+
+def _ends(points: list[float]) -> Column:
+    """Of running counts: the values on either side of each point, and the weight of the second."""
+    at = [F.lit(p) * (c("total") - 1) for p in points]
+    return F.array(*(F.struct(F.min(F.when(c("upto") > F.floor(p), c("_v"))).alias("a"), F.min(F.when(c("upto") > F.ceil(p), c("_v"))).alias("b"), F.max(p - F.floor(p)).alias("w")) for p in at))
+
+
+def _between(ends: str) -> Column:
+    return F.transform(ends, lambda e: F.when(e["a"] == e["b"], e["a"]).otherwise((1 - e["w"]) * e["a"] + e["w"] * e["b"]))
+
+
 def quantiles(df: DataFrame, columns: list[str | Column], points: list[float], *, name: str = "_q", buckets: int | None = None) -> DataFrame:
     """One row with an array of arrays: for each column its exact, linearly interpolated quantiles at ``points``.
 
@@ -52,8 +86,5 @@ def quantiles(df: DataFrame, columns: list[str | Column], points: list[float], *
     """
     cells = df.select(F.posexplode(F.array(*((c(x) if isinstance(x, str) else x).cast("double") for x in columns))).alias("_k", "_v"))
     seen = running_counts(cells, "_v", by=["_k"], buckets=buckets)
-    at = [F.lit(p) * (c("total") - 1) for p in points]
-    ends = [F.struct(F.min(F.when(c("upto") > F.floor(p), c("_v"))).alias("a"), F.min(F.when(c("upto") > F.ceil(p), c("_v"))).alias("b"), F.max(p - F.floor(p)).alias("w")) for p in at]
-    rows = seen.groupBy("_k").agg(F.array(*ends).alias("_ends"))
-    between = F.transform("_ends", lambda e: F.when(e["a"] == e["b"], e["a"]).otherwise((1 - e["w"]) * e["a"] + e["w"] * e["b"]))
-    return rows.select("_k", between.alias("_p")).agg(F.array(*(F.max(F.when(c("_k") == k, c("_p"))) for k in range(len(columns)))).alias(name))
+    rows = seen.groupBy("_k").agg(_ends(points).alias("_ends"))
+    return rows.select("_k", _between("_ends").alias("_p")).agg(F.array(*(F.max(F.when(c("_k") == k, c("_p"))) for k in range(len(columns)))).alias(name))

@@ -28,7 +28,7 @@ def anova(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
 def kruskal(df: DataFrame, group: str, value: str, *, least: int = 5) -> DataFrame:
     """Kruskal-Wallis H with tie correction and eta squared, over groups of ``least`` rows."""
     sizes = df.where(c(value).isNotNull()).groupBy(group).agg(F.count("*").alias("_k")).where(c("_k") >= least)
-    rows = df.join(F.broadcast(sizes.select(group)), group, "left_semi").select(group, value)
+    rows = df.join(sizes.select(group), group, "left_semi").select(group, value)
     ranks = average_ranks(rows, value)
     tie = ranks.agg(F.sum(c("n") * c("n") * c("n") - c("n")).alias("ties"), F.sum("n").alias("t"))
     sums = rows.groupBy(group, value).agg(F.count("*").alias("m")).join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum(c("m") * c("rank")).alias("r"), F.sum("m").alias("m"))
@@ -113,13 +113,18 @@ def bootstrap_interval(df: DataFrame, value: str, *, key: str, replicates: int =
     return means.agg(q.alias("q")).select(c("q")[0].alias("low"), c("q")[1].alias("median"), c("q")[2].alias("high"))
 
 
-def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> float:
-    """AMI of two labelings (arithmetic mean): the expected information of random tables with the same margins is summed over the margins."""
+def adjusted_mutual_information(df: DataFrame, a: str, b: str, *, most: int = 1_000_000) -> float:
+    """AMI of two labelings (arithmetic mean): the expected information of random tables with the same margins is summed over the margins.
+
+    The table of label pairs, not of rows, is worked on in the driver; more than ``most`` pairs are an error.
+    """
     from math import lgamma, log
 
     import numpy as np
 
-    cells = df.groupBy(a, b).agg(F.count("*").alias("n")).collect()  # a row for each pair of labels
+    cells = df.groupBy(a, b).agg(F.count("*").alias("n")).limit(most + 1).collect()
+    if len(cells) > most:
+        raise ValueError(f"more than {most} pairs of labels")
     rows, cols = {}, {}
     for x, y, n in cells:
         rows[x], cols[y] = rows.get(x, 0) + n, cols.get(y, 0) + n

@@ -20,10 +20,17 @@ def spec_table(spark: SparkSession, years: list[int], months: list[int], lengths
 
 
 def attach_specs(weekly: DataFrame, specs: DataFrame, *, period: str = "date_id") -> DataFrame:
-    """Rows of every spec's two windows with ``segment``; the spec table is a few hundred rows, hence the broadcast."""
+    """Rows of every spec's two windows with ``segment``.
+
+    A spec, of a few hundred, is broadcast once for each month of its windows,
+    so that a row meets only those with its month, by an equal key.
+    """
     d = c(period)
     segment = F.when(d.between(c("feat_start"), c("feat_end")), "feature").when(d.between(c("target_start"), c("target_end")), "target")
-    return weekly.join(F.broadcast(specs), d.between(c("feat_start"), c("feat_end")) | d.between(c("target_start"), c("target_end"))).withColumn("segment", segment)
+    months = [F.sequence(F.trunc(a, "month"), F.trunc(b, "month"), F.expr("interval 1 month")) for a, b in (("feat_start", "feat_end"), ("target_start", "target_end"))]
+    by_month = specs.withColumn("_month", F.explode(F.array_distinct(F.concat(*months))))
+    rows = weekly.join(F.broadcast(by_month), F.trunc(d, "month") == c("_month")).drop("_month")
+    return rows.withColumn("segment", segment).where("segment is not null")
 
 
 def expected_weeks(start: str, end: str) -> F.Column:

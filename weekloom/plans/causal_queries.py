@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekloom.operators import causal as op
+from weekloom.operators import survival
+from weekloom.operators.panel import standardize_cols
+from weekloom.operators.regression import controlled_profile, factor_regression, logit_groups
 from weekloom.plans.binding import panel, query, slope_sql
 from weekloom.plans.district_queries import _FE
 from weekloom.plans.label_queries import _CU, customers
@@ -100,11 +103,30 @@ def _(s, d):
     return op.profile_difference(profile(s, d), group="grp")
 
 
+def linked_events(s, d):
+    """Weeks around each entity's strongest rise, in two groups: with and without a delivery link."""
+    p = panel(s, d)
+    return op.event_window(p, op.detect_rise(p).select("public_id", "gc_week")).withColumn("grp", c("public_id").cast("long") % 2)
+
+
 @query("es_controlled")
 def _(s, d):
-    p = panel(s, d)
-    w = op.event_window(p, op.detect_rise(p).select("public_id", "gc_week", "has_gc"))
-    return op.controlled_profile(w, "sales_card_mm", c("has_gc"), {"promo": F.coalesce(c("category") == "PROMO", F.lit(False))})
+    return controlled_profile(linked_events(s, d), "sales_card_mm", group="grp", controls=["sigungu", "category"])[0]
+
+
+@query("es_controlled_profile")
+def _(s, d):
+    return controlled_profile(linked_events(s, d), "sales_card_mm", group="grp", controls=["sigungu", "category"])[1]
+
+
+_CELL = "cm AS (SELECT event_time, CAST(public_id AS BIGINT) % 2 AS grp, avg(sales_card_mm) AS m FROM ew WHERE sales_card_mm IS NOT NULL GROUP BY 1, 2)"
+
+
+@query("es_interactions", f"WITH {_EW}, {_CELL} SELECT CAST(a.event_time AS BIGINT) AS event_time, round(a.m - b.m - (SELECT m FROM cm WHERE event_time = -8 AND grp = 1) + (SELECT m FROM cm WHERE event_time = -8 AND grp = 0), 5) AS coefficient FROM cm a JOIN cm b USING (event_time) WHERE a.grp = 1 AND b.grp = 0 AND event_time > -8", tables="p", digits=5)
+def _(s, d):
+    """Without controls the products are differences of the groups' differences from the first event time."""
+    rows = factor_regression(linked_events(s, d), "sales_card_mm", [("event_time",), ("grp",), ("event_time", "grp")], reference={"event_time": -8, "grp": 0}).coefficients
+    return rows.where("term = 'event_time:grp'").select(F.split_part("level", F.lit(":"), F.lit(1)).cast("long").alias("event_time"), "coefficient")
 
 
 _LAG = "q AS (SELECT public_id, week_idx, ln(1 + sales_card) AS y, lag(customer_new / nullif(customer, 0)::DOUBLE) OVER (PARTITION BY public_id ORDER BY week_idx) AS nc1 FROM panel), q2 AS (SELECT * FROM q WHERE nc1 IS NOT NULL)"
@@ -124,6 +146,11 @@ def _(s, d):
     return op.fe_twoway(lagged(s, d), "y", ["nc1"])
 
 
+@query("fe_twoway_exact")
+def _(s, d):
+    return op.fe_twoway(lagged(s, d), "y", ["nc1", "nc2"], exact=True)
+
+
 @query("fe_cluster_se")
 def _(s, d):
     return op.fe_cluster_se(lagged(s, d).dropna(), "y", ["nc1", "nc2", "nc4", "y1"])
@@ -158,12 +185,38 @@ def _(s, d):
     return op.log_rank(spells(s, d), group="grp", time="t", event="e")
 
 
+def scaled_spells(s, d):
+    x = spells(s, d).withColumn("c_nationkey", c("c_nationkey").cast("double"))
+    return standardize_cols(x, ["c_acctbal", "c_nationkey"])
+
+
 @query("surv_cox")
 def _(s, d):
-    from weekloom.operators.panel import standardize_cols
+    return survival.cox(scaled_spells(s, d), ["c_acctbal", "c_nationkey"], time="t", event="e")
 
-    x = spells(s, d).withColumn("c_nationkey", c("c_nationkey").cast("double"))
-    return op.cox(standardize_cols(x, ["c_acctbal", "c_nationkey"]), ["c_acctbal", "c_nationkey"], time="t", event="e")
+
+@query("surv_cox_groups")
+def _(s, d):
+    return survival.cox(scaled_spells(s, d), ["c_acctbal", "c_nationkey"], time="t", event="e", by="grp")
+
+
+_PAIRS = "SELECT {key}count(*)::DOUBLE AS pairs, sum(CAST(a.x > b.x AS INTEGER))::DOUBLE AS concordant, sum(CAST(a.x = b.x AS INTEGER))::DOUBLE AS tied, round((sum(CAST(a.x > b.x AS INTEGER)) + sum(CAST(a.x = b.x AS INTEGER)) / 2.0) / count(*), 6) AS concordance FROM s2 a JOIN s2 b ON a.e = 1 AND (a.t < b.t OR a.t = b.t AND b.e = 0){on}"
+
+
+@query("surv_concordance", f"WITH {_KM.replace('survival_weeks AS t', 'survival_weeks AS t, c_acctbal AS x')}, s2 AS (SELECT * FROM sv) {_PAIRS.format(key='', on='')}")
+def _(s, d):
+    return survival.concordance(spells(s, d).where("t > 0"), time="t", event="e", score="c_acctbal")
+
+
+@query("surv_concordance_groups", f"WITH {_KM.replace('survival_weeks AS t', 'survival_weeks AS t, CAST(c_nationkey AS DOUBLE) AS x')}, s2 AS (SELECT * FROM sv) {_PAIRS.format(key='a.grp, ', on=' AND a.grp = b.grp')} GROUP BY a.grp")
+def _(s, d):
+    """Scores with many ties."""
+    return survival.concordance(spells(s, d).where("t > 0"), time="t", event="e", score="c_nationkey", by="grp")
+
+
+@query("surv_ph_check")
+def _(s, d):
+    return survival.ph_check(scaled_spells(s, d).where("t < 500"), ["c_acctbal", "c_nationkey"], time="t", event="e")
 
 
 @query("model_ols", "WITH z AS (SELECT o_totalprice / 1000 AS y, CAST(month(o_orderdate) AS DOUBLE) AS x FROM orders) SELECT 'intercept' AS term, round(regr_intercept(y, x), 4) AS coefficient, round(regr_r2(y, x), 4) AS r2, count(*) AS n FROM z UNION ALL SELECT 'x', round(regr_slope(y, x), 4), round(regr_r2(y, x), 4), count(*) FROM z", digits=4)
@@ -174,7 +227,7 @@ def _(s, d):
 @query("logit_cohort")
 def _(s, d):
     rows = read_table(s, d, "documents").select("doc_id", "lang", (c("n_chars") / 1000).alias("x")).join(read_table(s, d, "labels").select("doc_id", "toxic"), "doc_id")
-    return op.irls_logit(rows, ["lang"], "toxic", "x")
+    return logit_groups(rows, "lang", "toxic", ["x"])
 
 
 @query("coef_signs", "WITH z AS (SELECT year(o_orderdate) AS spec, c_mktsegment, corr(o_totalprice, c_acctbal) AS r FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT c_mktsegment, count(*) AS n, round(greatest(count(*) FILTER (WHERE r > 0), count(*) FILTER (WHERE r < 0)) / count(*)::DOUBLE, 6) AS sign_agreement, round(avg(CAST(abs(r) < 0.05 AS INTEGER)), 6) AS significant FROM z GROUP BY 1")

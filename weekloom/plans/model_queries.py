@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from weekloom.operators import evaluate as ev
 from weekloom.operators import features as ft
 from weekloom.operators import models as op
+from weekloom.operators.panel import standardize_cols
+from weekloom.operators.regression import multinomial_blocks
+from weekloom.operators.stl import stl_trend
 from weekloom.plans.binding import panel, query
 from weekloom.plans.label_queries import SL, labelled
-from weekloom.sources.tables import fresh_folder, read_table
+from weekloom.sources.tables import fresh_folder, meta, read_table, written
 
 c = F.col
 
@@ -116,9 +119,30 @@ def _(s, d):
     return op.propensity(rows, ["sales_mean", "sales_cv"], "treated", key="public_id")
 
 
+_OUTCOMES = ["Stable", "Growth", "Decline"]
+
+
+def outcome_blocks(s, d, by=None):
+    """Nested models of the outcome: trend, then level and variation, all scaled."""
+    xs = ["slope_all", "sales_mean", "sales_cv"]
+    rows = written(early(s, d).join(meta(s, d).select("public_id", "delivery_link"), "public_id"), "early")
+    return multinomial_blocks(standardize_cols(rows, xs), {"trend": xs[:1], "level": xs[1:]}, "outcome_3", classes=_OUTCOMES, by=by)
+
+
 @query("mnlogit_outcome")
 def _(s, d):
-    return op.multinomial(early(s, d), ["slope_all", "sales_mean"], "outcome_3")
+    return outcome_blocks(s, d)[0]
+
+
+@query("mnlogit_blocks")
+def _(s, d):
+    return outcome_blocks(s, d)[1]
+
+
+@query("mnlogit_subgroup")
+def _(s, d):
+    out, fits = outcome_blocks(s, d, by="delivery_link")
+    return out.join(fits.select("delivery_link", "model", "n", "lr_chi2", "lr_p"), ["delivery_link", "model"])
 
 
 @query("detrend_local")
@@ -126,6 +150,11 @@ def _(s, d):
     return op.local_trend(panel(s, d).drop("trend", "resid"), entity="public_id", order="week_idx", value="sales_card")
 
 
+@query("detrend_stl")
+def _(s, d):
+    return stl_trend(panel(s, d).select("public_id", "week_idx", "sales_card"), entity="public_id", order="week_idx", value="sales_card")
+
+
 @query("piecewise_bic")
 def _(s, d):
     return op.piecewise_bic(panel(s, d), entity="public_id", order="week_idx", value="sales_card_mm")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekloom.operators import causal, features as ft, statistics as st, windows as wn
-from weekloom.operators.panel import standardize_cols
 from weekloom.plans.binding import panel, query, slope_sql
-from weekloom.plans.causal_queries import spells
 from weekloom.plans.district_queries import _SPEC, specs
 from weekloom.plans.label_queries import SL, labelled
+from weekloom.sources.archives import read_zipped_csv, write_zipped_csv
 from weekloom.sources.tables import fresh_folder, meta, read_dimension, read_encoded_csv, read_table, weekly, write_encoded_csv, write_table
 
 c = F.col
@@ -46,12 +45,6 @@ def _(s, d):
     return s.createDataFrame([(st.adjusted_mutual_information(o, "o_orderstatus", "y"),)], "ami double")
 
 
-@query("surv_ph_check")
-def _(s, d):
-    x = spells(s, d).withColumn("c_nationkey", c("c_nationkey").cast("double"))
-    return causal.ph_check(standardize_cols(x, ["c_acctbal", "c_nationkey"]), ["c_acctbal", "c_nationkey"], time="t", event="e")
-
-
 @query("clu_feature_means", f"WITH {SL} SELECT CAST(public_id AS BIGINT) % 3 AS cluster, round(avg(a) FILTER (WHERE outcome_3 = 'Growth'), 6) AS growth, round(avg(a) FILTER (WHERE outcome_3 = 'Decline'), 6) AS decline, round(avg(a) FILTER (WHERE outcome_3 = 'Stable'), 6) AS stable FROM lab GROUP BY 1", tables="p")
 def _(s, d):
     means = [F.avg(F.when(c("outcome_3") == x.title(), c("slope_all_mm"))).alias(x) for x in ("growth", "decline", "stable")]
@@ -86,6 +79,15 @@ def _(s, d):
     return out
 
 
+@query("src_zipped_csv", "SELECT p_partkey AS k, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' 서울' ELSE ' ☃' END AS name, round(p_retailprice, 2) AS price, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS size FROM part", digits=2)
+def _(s, d):
+    """Two sets of archives, of cp949 and of UTF-8; the size of the first isn't a number."""
+    part = read_table(s, d, "part").select(c("p_partkey").cast("long").alias("k"), F.concat("p_name", F.when(c("p_partkey") % 3 == 0, " 서울").otherwise(" ☃")).alias("name"), c("p_retailprice").alias("price"), "p_size", F.lit("a,b").alias("other"))
+    paths = write_zipped_csv(part.where("k % 3 = 0").withColumn("size", F.concat(c("p_size").cast("string"), F.lit("cm"))).drop("p_size"), fresh_folder(s, "zips"), encoding="cp949")
+    paths += write_zipped_csv(part.where("k % 3 > 0").withColumnRenamed("p_size", "size"), fresh_folder(s, "zips"))
+    return read_zipped_csv(s, paths, "k long, name string, price double, size int")
+
+
 @query("sink_tables", "SELECT o_orderstatus AS status, year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2", digits=2)
 def _(s, d):
     o = read_table(s, d, "orders").groupBy(c("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))

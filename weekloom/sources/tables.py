@@ -87,6 +87,23 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/weekloom-{uuid.uuid4().hex}/{name}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written into a new shared folder and read back: a short plan for loops, which survives lost executors."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._weekloom_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` after their last reader."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._weekloom_path).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_table(df: DataFrame, path: str, *, kind: str = "parquet", by: list[str] | None = None) -> None:
     """Result table as Parquet or CSV with a header, in folders by ``by``."""
     out = df.write.mode("overwrite").partitionBy(*(by or []))
