@@ -379,3 +379,28 @@ def test_boilerplate_lines_go(spark, odd, nothing):
     assert joined == got
     assert linefreq.drop_boilerplate(odd).columns == odd.columns and linefreq.drop_boilerplate(nothing).count() == 0
     assert linefreq.drop_boilerplate(odd).exceptAll(odd).count() == 0
+
+
+def test_identify_without_learned_letters(spark):
+    """Labelled texts without a letter teach no n-gram: a text with letters is as far as can be from every language."""
+    profiles = language.fit_profiles(spark.createDataFrame([(1, "123 456", "en"), (2, "7", "de")], "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "hello"), (2, "123"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, profiles).collect()} == {1: ("de", 0.0), 2: ("und", 0.0), 3: ("und", 0.0)}
+    assert language.keep_identified(docs, profiles).count() == 0
+
+
+def test_token_files_of_widely_spread_ids(spark):
+    """Ids from end to end of 64 bits in one file, nulls, and repeated ones."""
+    ids = [-(2**63), -(2**63) + 5, -3, 0, 0, 7, 2**63 - 5, 2**63 - 1, None]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    for partitions in (1, 3):
+        rows = tokenbin.read_tokens(tokenbin.write_tokens(docs, BYTE_VOCABULARY, partitions=partitions), docs_per_read=4).orderBy("start").collect()
+        assert [r.doc_id for r in rows] == [None, *sorted(x for x in ids if x is not None)]
+        assert [r.start for r in rows] == list(np.cumsum([0, *(r.n_tokens for r in rows)])[:-1])
+
+
+@pytest.mark.parametrize("values", [[0], [0, 2**64 - 1], [5, 5, 5], list(range(0, 2**40, 2**30)), []])
+def test_elias_fano_of_64_bits(values):
+    coded = tokenbin.EliasFano.load(tokenbin.EliasFano.build(np.array(values, np.uint64), max(values, default=0) + 1).dump())
+    assert coded.select(0, len(values)).tolist() == values
+    assert [coded.select(k, k + 1).tolist() for k in range(len(values))] == [[v] for v in values]

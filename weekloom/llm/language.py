@@ -137,7 +137,7 @@ def out_of_place(profiles: Profiles, part: wb.Slice) -> tuple[list[str], np.ndar
     size = np.bincount(owner, minlength=rows)
     total = np.empty((rows, len(profiles.langs)))
     for k in range(len(profiles.langs)):
-        its = profiles.ranks[place, k]
+        its = profiles.ranks[place, k] if len(profiles.grams) else np.full(len(gram), profiles.depth)
         apart = np.where(known & (its < profiles.depth), np.minimum(np.abs(rank - its), profiles.depth), profiles.depth)
         total[:, k] = np.bincount(owner, weights=apart, minlength=rows)
     best = total.argmin(axis=1)
@@ -152,7 +152,8 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, lang_pred and score for every row of ``docs`` (doc_id, text), from the whole text alone.
 
     Null texts, texts without a letter, and all texts when no language was
-    learned give ``und`` with score 0. Equal distances go to the language whose
+    learned give ``und`` with score 0. Where no n-gram was learned, a text with
+    letters is at the largest distance from all languages. Equal distances go to the language whose
     name sorts first. The score is 1 less the out-of-place distance as a share
     of the largest possible one. Other columns are ignored, repeated rows are
     kept, and an empty table gives an empty result.

@@ -24,7 +24,7 @@ SAMPLE = 256
 
 
 class EliasFano:
-    """A sorted sequence of non-negative integers below ``universe``; ``select`` returns values by position.
+    """A sorted sequence of non-negative integers below ``universe``, 2**64 at most; ``select`` returns values by position.
 
     The low bits are packed; the high bits are a unary bit vector. Samples are
     32-bit positions in the high bits, one for ``SAMPLE`` values; a file holds fewer than 2**31 documents.
@@ -35,32 +35,31 @@ class EliasFano:
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
-        n = len(values)
+        n, values = len(values), values.astype(np.uint64)
         low_bits = max(0, int(max(universe, 1) // max(n, 1)).bit_length() - 1)
-        upper = values >> low_bits
-        at = upper + np.arange(n)
+        at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         bits[at] = 1
         low = np.zeros(n * low_bits, np.uint8)
         for k in range(low_bits):
-            low[k::low_bits] = (values >> k) & 1
+            low[k::low_bits] = (values >> np.uint64(k)) & np.uint64(1)
         return cls(n, low_bits, np.packbits(low, bitorder="little"), np.packbits(bits, bitorder="little"), at[::SAMPLE].astype(np.uint32))
 
     def select(self, first: int, last: int) -> np.ndarray:
-        """Values at positions first .. last - 1."""
+        """Values at positions first .. last - 1, unsigned."""
         if last <= first:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64)
         base = first - first % SAMPLE
         begin = int(self.samples[base // SAMPLE])
         stop = int(self.samples[-(-last // SAMPLE)]) if -(-last // SAMPLE) < len(self.samples) else 8 * len(self.high)
         ones = np.flatnonzero(np.unpackbits(self.high[begin >> 3 : (stop >> 3) + 1], bitorder="little")) + (begin & ~7)
         ones = ones[np.searchsorted(ones, begin) :]
         upper = ones[first - base : last - base] - np.arange(first, last)
-        low = np.zeros(last - first, np.int64)
+        low = np.zeros(last - first, np.uint64)
         for k in range(self.low_bits):
             at = np.arange(first, last) * self.low_bits + k
-            low |= ((self.low[at >> 3] >> (at & 7)) & 1).astype(np.int64) << k
-        return upper << self.low_bits | low
+            low |= ((self.low[at >> 3] >> (at & 7)) & 1).astype(np.uint64) << np.uint64(k)
+        return upper.astype(np.uint64) << np.uint64(self.low_bits) | low
 
     def dump(self) -> bytes:
         return struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
@@ -145,7 +144,8 @@ def _writer(vocabulary: str, folder: str, end_id: int, limit: int = 4 << 20):
         size = np.concatenate(sizes)
         total = int(size.sum())
         bounds = EliasFano.build(np.r_[0, np.cumsum(size)], total + 1).dump()
-        names = EliasFano.build(known - low, int(known[-1]) - low + 1 if len(known) else 1).dump()
+        # Differences of signed ids as unsigned ones, which may take all 64 bits.
+        names = EliasFano.build(known.view(np.uint64) - np.uint64(low % 2**64), int(known[-1]) - low + 1 if len(known) else 1).dump()
         out.write(bounds)
         out.write(names)
         head = {"ids": total, "docs": len(size), "bytes_per_id": width.itemsize, "null_ids": nulls, "first_id": low, "bounds": len(bounds), "names": len(names)}
@@ -174,12 +174,12 @@ class TokenFile:
 
     def doc_ids(self, first: int, last: int) -> list[int | None]:
         nulls = self.head["null_ids"]
-        known = self.names.select(max(first - nulls, 0), max(last - nulls, 0)) + self.head["first_id"]
-        return [None] * (last - first - len(known)) + known.tolist()
+        known = self.names.select(max(first - nulls, 0), max(last - nulls, 0)) + np.uint64(self.head["first_id"] % 2**64)
+        return [None] * (last - first - len(known)) + known.view(np.int64).tolist()
 
     def offsets(self, first: int, last: int) -> np.ndarray:
         """Where documents first .. last - 1 start, and where the last of them ends."""
-        return self.bounds.select(first, last + 1)
+        return self.bounds.select(first, last + 1).view(np.int64)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         raw = self.file.read_at((stop - start) * self.width.itemsize, len(MAGIC) + start * self.width.itemsize)
@@ -212,7 +212,9 @@ def read_tokens(manifest: DataFrame, *, docs_per_read: int = 2000) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the token files of ``manifest``.
 
     start counts the ids of all documents before; ids_crc32 is the unsigned
-    crc32 of the document's ids as little-endian unsigned 32-bit integers.
+    crc32 of the document's ids as little-endian unsigned 32-bit integers. Null
+    and empty texts have one id; a null doc_id stays null, repeated rows give
+    repeated results, and an empty manifest gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
