@@ -89,19 +89,10 @@ def shape_distance(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def warping_distance(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Dynamic time warping of all series with each centre, cell by cell for all series at once."""
-    out = np.empty((len(x), len(centres)))
-    for j, y in enumerate(centres):
-        row = np.full((len(x), len(y) + 1), np.inf)
-        row[:, 0] = 0
-        for i in range(x.shape[1]):
-            new = np.full_like(row, np.inf)
-            cost = (x[:, i, None] - y[None]) ** 2
-            for k in range(len(y)):
-                new[:, k + 1] = cost[:, k] + np.minimum(np.minimum(row[:, k + 1], row[:, k]), new[:, k])
-            row = new
-        out[:, j] = np.sqrt(row[:, -1])
-    return out
+    """Dynamic time warping of all series with each centre."""
+    from weekloom.operators.clusters import warping_costs
+
+    return np.sqrt(np.stack([warping_costs(x, y) for y in centres], axis=1))
 
 
 def assign(df: DataFrame, array: str, centres: np.ndarray, distance, *, key: str) -> DataFrame:
@@ -121,9 +112,20 @@ def shape_clusters(df: DataFrame, array: str, k: int, *, key: str, rounds: int =
     """Shape-distance k-means with mean centroids: rounds of assignment in tasks and means by position in Spark. Starts from k rows spread by hash."""
     seeds = df.select(array).orderBy(F.xxhash64(key), key).limit(k).collect()
     centres = np.array([r[0] for r in seeds], float)
+
+    def sums(batches: Iterator[pd.DataFrame], centres: np.ndarray) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b["a"].to_numpy()).astype(float)
+                near = shape_distance(x, centres).argmin(1)
+                for j in np.unique(near):
+                    yield pd.DataFrame({"cluster": int(j), "i": np.arange(x.shape[1]), "s": x[near == j].sum(0), "n": int((near == j).sum())})
+
+    series = df.select(c(array).cast("array<double>").alias("a"))
     for _ in range(rounds):
-        got = assign(df, array, centres, shape_distance, key=key).join(df.select(key, c(array).cast("array<double>").alias("a")), key)
-        means = got.select("cluster", F.posexplode("a").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m")).collect()  # k x length
+        # A task sums its batches' series by cluster, so that no array moves.
+        parts = series.mapInPandas(lambda batches, at=centres: sums(batches, at), "cluster int, i int, s double, n long")
+        means = parts.groupBy("cluster", "i").agg((F.sum("s") / F.sum("n")).alias("m")).collect()  # k x length
         new = centres.copy()
         for r in means:
             new[r["cluster"], r["i"]] = r["m"]

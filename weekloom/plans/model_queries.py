@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.operators import clusters as cl
 from weekloom.operators import evaluate as ev
 from weekloom.operators import features as ft
 from weekloom.operators import models as op
@@ -42,13 +46,23 @@ def _(s, d):
     return op.shape_clusters(vectors(s, d), "embedding", 4, key="vec_id", rounds=2)[0].groupBy("cluster").agg(F.count("*").alias("n"), F.avg("distance").alias("distance"))
 
 
-@query("clu_dtw_assign")
+@query("clu_silhouette")
 def _(s, d):
-    import numpy as np
+    return cl.euclidean_silhouette(op.kmeans(vectors(s, d), "embedding", 6, key="vec_id"), key="vec_id")
 
+
+@query("clu_kmeans_sweep")
+def _(s, d):
+    """Every number of clusters from 3 to 15."""
+    v = written(vectors(s, d).select("vec_id", "embedding"), "vectors")
+    return reduce(DataFrame.union, (cl.euclidean_silhouette(op.kmeans(v, "embedding", k, key="vec_id"), key="vec_id", sample=500).select(F.lit(k).alias("k"), "*") for k in range(3, 16)))
+
+
+@query("clu_dtw_assign")
+def _(s, d):
     v = vectors(s, d).select("vec_id", "embedding")
-    centres = np.array([r[0] for r in v.orderBy("vec_id").select("embedding").limit(3).collect()], float)
-    return op.assign(v, "embedding", centres, op.warping_distance, key="vec_id").groupBy("cluster").agg(F.count("*").alias("n"), F.avg("distance").alias("distance"))
+    centres = cl.warped_medoids(v, "embedding", 3, key="vec_id")
+    return cl.nearest_warped(v, "embedding", centres, key="vec_id").groupBy("cluster").agg(F.count("*").alias("n"), F.avg("distance").alias("distance"), (F.sum("skipped") / (F.count("*") * len(centres))).alias("skipped_share"))
 
 
 @query("clu_stability")
@@ -73,6 +87,17 @@ def early(s, d):
     return ev.fold_hashed(rows, key="public_id", k=3)
 
 
+@query("clu_importances")
+def _(s, d):
+    rows = early(s, d).withColumn("cluster", c("public_id").cast("long") % 3)
+    return cl.cluster_importances(rows, ["slope_all", "sales_mean", "sales_cv"], "outcome_3", top=2)
+
+
+@query("model_importance")
+def _(s, d):
+    return cl.permutation_importance(early(s, d), ["slope_all", "sales_mean", "sales_cv"], "outcome_3", key="public_id")
+
+
 @query("model_cv")
 def _(s, d):
     pred = op.cross_validated(early(s, d), ["slope_all", "sales_mean", "sales_cv"], "outcome_3", key="public_id", boost={"Decline": 2.0})
