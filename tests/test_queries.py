@@ -9,13 +9,14 @@ import duckdb
 import pytest
 
 from weekloom.plans import registry
+from weekloom.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Thresholds that the smallest tables don't reach, so that no row is left.
 MAY_BE_EMPTY = {"rank_top_k", "pat_triadic_share", "uni_paradox", "agg_industry_region", "granger_entity", "dist_relative_ratio", "surv_km", "pat_one_mode_edges", "ews_segment", "nearest_match_strata"}
 #: A sample of the fitted queries; all of them take minutes.
-SLOW = {"model_cv_forest", "model_ablation", "model_regress_bucket", "clu_gmm", "model_regress", "mnlogit_outcome", "psm_score", "model_cv", "model_cv_boosted", "model_score_new"}
+SLOW = {"clu_kmeans_sweep", "mnlogit_blocks", "mnlogit_subgroup", "clu_importances", "model_importance", "model_score_weeks", "model_cv_forest", "model_ablation", "model_regress_bucket", "clu_gmm", "model_regress", "mnlogit_outcome", "psm_score", "model_cv", "model_cv_boosted", "model_score_new"}
 
 
 def plain(v):
@@ -34,6 +35,17 @@ def near(a, b):
     return a == b
 
 
+@pytest.fixture(scope="module", autouse=True)
+def weekly_once(spark, tmp_path_factory):
+    """The weekly facts, which most queries begin with, written once for all of them."""
+    path = str(tmp_path_factory.mktemp("weekly") / "facts")
+    tables.weekly(spark, DATA).write.parquet(path)
+    plain = tables.weekly_from_lines
+    tables.weekly_from_lines = lambda lines, orders: spark.read.parquet(path)
+    yield
+    tables.weekly_from_lines = plain
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

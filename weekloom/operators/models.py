@@ -217,6 +217,20 @@ def score_new(model_path: str, df: DataFrame) -> DataFrame:
     return PipelineModel.load(model_path).transform(df)
 
 
+def score_weeks(model_path: str, weeks: DataFrame, meta: DataFrame, *, first: int = 30, key: str = "public_id") -> DataFrame:
+    """key, prediction and probabilities of unseen entities from their raw weekly rows and dimension.
+
+    Weeks go through the panel's cleaning and the early features of the
+    ``first`` weeks, as those did that the pipeline was fitted on; an entity
+    with too few weeks has no score.
+    """
+    from weekloom.operators.features import feat_early30
+    from weekloom.operators.panel import build_panel
+
+    scored = score_new(model_path, feat_early30(build_panel(weeks, meta), weeks=first))
+    return scored.select(key, "prediction", vector_to_array("probability").alias("probability"))
+
+
 def propensity(df: DataFrame, columns: list[str], treated: str, *, key: str) -> DataFrame:
     """key, treated and the logistic propensity score on standardised covariates."""
     rows = df.select(key, c(treated).cast("double").alias(treated), *(c(x).cast("double").alias(x) for x in columns))

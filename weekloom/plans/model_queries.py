@@ -16,7 +16,7 @@ from weekloom.operators.regression import multinomial_blocks
 from weekloom.operators.stl import stl_trend
 from weekloom.plans.binding import panel, query
 from weekloom.plans.label_queries import SL, labelled
-from weekloom.sources.tables import fresh_folder, meta, read_table, written
+from weekloom.sources.tables import fresh_folder, meta, read_table, weekly, written
 
 c = F.col
 
@@ -123,6 +123,16 @@ def _(s, d):
     return op.score_new(path, rows.where("fold = 0")).select("public_id", "prediction")
 
 
+@query("model_score_weeks")
+def _(s, d):
+    """The pipeline is fitted on two folds' features and scores the third fold's raw weeks."""
+    path = fresh_folder(s, "model")
+    op.save_model(early(s, d).where("fold <> 0"), ["slope_all", "sales_mean", "sales_cv"], "outcome_3", path)
+    fold = ev.hashed("public_id") % 3
+    out = op.score_weeks(path, weekly(s, d).where(fold == 0), meta(s, d).where(fold == 0))
+    return out.select("public_id", "prediction", F.array_max("probability").alias("probability"))
+
+
 @query("model_ablation")
 def _(s, d):
     return op.ablation(early(s, d), {"level": ["sales_mean"], "trend": ["sales_mean", "slope_all"]}, "outcome_3", key="public_id")
