@@ -101,3 +101,14 @@ def test_odd_rows_as_they_are(spark):
     got = neurallm.lm_scores(odd).collect()
     assert len(got) == len(ODD) and sum(r.doc_id is None for r in got) == 1
     assert len({(r.n_tokens, round(r.score, 6)) for r in got if r.doc_id == 4}) == 1
+
+
+def test_scores_follow_the_rows_and_not_their_layout(spark, monkeypatch):
+    """The same rows in other partitions and order give the same scores, with one shard and with several."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id < 5"))
+    for tokens in (2_000_000, 10_000):
+        monkeypatch.setattr(neurallm, "SHARD_TOKENS", tokens)
+        one, other = ({(r.doc_id, round(r.base_score, 6)): r.score for r in neurallm.lm_scores(x).collect()} for x in (docs.coalesce(1), docs.repartition(7).orderBy(F.rand(3))))
+        assert one.keys() == other.keys()
+        assert max(abs(a - other[k]) / max(1.0, abs(a)) for k, a in one.items()) < 1e-6

@@ -357,10 +357,45 @@ def test_alignment_covers_what_the_longest_common_run_of_stretches_does():
 
 
 def test_whole_license_texts_of_a_folder(tmp_path):
-    (tmp_path / "Own-1").write_text("one two three four five six")
-    (tmp_path / "Own").symlink_to(tmp_path / "Own-1")
-    assert licenses.installed_templates(str(tmp_path)) == {"own-1": "one two three four five six"}
-    assert licenses.installed_templates(str(tmp_path / "none")) == {}
+    (tmp_path / "Own-1.txt").write_text("one two three four five six")
+    assert licenses.whole_templates(tmp_path) == {"own-1": "one two three four five six"}
+    known = licenses.whole_templates()
+    assert len(known) == 14 and known["gpl-3"].rstrip().endswith("why-not-lgpl.html>.")
+
+
+def most_covered(a, b, run):
+    """The most words of ``a`` that stretches of ``run`` or more words, in order in both, can cover; by the whole table."""
+    f, g, length = (np.zeros((len(a) + 1, len(b) + 1), np.int64) for _ in range(3))
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            if a[i - 1] == b[j - 1]:
+                length[i, j] = length[i - 1, j - 1] + 1
+                if length[i, j] >= run:
+                    g[i, j] = max(f[i - run, j - run] + run, g[i - 1, j - 1] + 1 if length[i, j] > run else 0)
+            f[i, j] = max(f[i - 1, j], f[i, j - 1], g[i, j])
+    return int(f[-1, -1])
+
+
+def test_license_query_equals_the_whole_table(spark, documents):
+    """Every document and template of the smallest table: the same licenses as the best alignment has, as many words."""
+    from weekloom.llm.queries import op8_license_scan
+
+    words = lambda text: re.findall(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+", lower(text))
+    want = {}
+    for name, text in (licenses.TEMPLATES | licenses.whole_templates()).items():
+        a = words(text)
+        run = min(3, len(a))
+        grams = [tuple(a[i : i + run]) for i in range(len(a) - run + 1)]
+        for r in documents.collect():
+            b = words(r.text)
+            has = {tuple(b[i : i + run]) for i in range(len(b) - run + 1)}
+            covered = {i + k for i, g in enumerate(grams) if g in has for k in range(run)}
+            if len(covered) >= 0.85 * len(a):
+                best = most_covered(a, b, run)
+                if best >= 0.85 * len(a):
+                    want[r.doc_id, name] = (len(a), best)
+    got = {(r.doc_id, r.license): (r.template_words, r.covered_words) for r in op8_license_scan(spark, DATA).collect()}
+    assert got == want and len(want) > 5
 
 
 def test_license_notices_of_the_table(documents):
@@ -404,3 +439,47 @@ def test_elias_fano_of_64_bits(values):
     coded = tokenbin.EliasFano.load(tokenbin.EliasFano.build(np.array(values, np.uint64), max(values, default=0) + 1).dump())
     assert coded.select(0, len(values)).tolist() == values
     assert [coded.select(k, k + 1).tolist() for k in range(len(values))] == [[v] for v in values]
+
+
+def test_contamination_over_several_blocks(spark, documents, monkeypatch):
+    """Blocks of ten items, of which a worker keeps none, one or all, give the result of one block."""
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    whole = {tuple(r) for r in contamination.contained_items(documents, items).collect()}
+    kept = contamination.drop_contaminated(documents, items).count()
+    monkeypatch.setitem(contamination.write_blocks.__kwdefaults__, "block", 10)
+    assert len(contamination.write_blocks(items)) > 2
+    assert {tuple(r) for r in contamination.contained_items(documents, items).collect()} == whole and whole
+    assert contamination.drop_contaminated(documents, items).count() == kept < documents.count()
+
+
+def test_recall_of_items_by_containment(spark):
+    """Items whole, edited, and in two pieces far apart in long documents: all of those that hold 0.8 are found."""
+    draw = random.Random(17)
+    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 8)))
+    items, docs, want = [], [], set()
+    for k in range(240):
+        item = [word() for _ in range(draw.choice([20, 60, 200]))]
+        text = list(item)
+        for _ in range(draw.choice([0, 0, len(item) // 60, len(item) // 30])):
+            text[draw.randrange(len(text))] = word()
+        filler = [word() for _ in range(4000)]
+        at = draw.randrange(1000)
+        if k % 3 == 0:
+            cut = draw.randrange(5, len(text) - 5)
+            doc = filler[:at] + text[:cut] + filler[at : at + 2000] + text[cut:] + filler[at + 2000 :]
+        else:
+            doc = filler[:at] + text + filler[at:]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(doc)))
+        share = len(shingles(items[-1][1]) & shingles(docs[-1][1])) / len(shingles(items[-1][1]))
+        if share >= 0.8:
+            want.add(k)
+    got = contamination.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == want and all(r.doc_id == r.item_id for r in got) and len(want) > 120
+
+
+def test_archives_with_a_least_size_of_revisits(spark):
+    """Payloads under the least size are all responses, however often they occur."""
+    pages = spark.createDataFrame([(1, "http://a.example/1", "same long page"), (2, "http://a.example/2", "same long page"), (3, "http://a.example/3", "x"), (4, "http://a.example/4", "x"), (5, "http://a.example/5", None), (6, None, "")], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_back(pages, warc.write_index(warc.write_archives(pages, min_revisit_bytes=5)), strict=True).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}

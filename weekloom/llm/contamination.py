@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from functools import lru_cache
 from math import ceil
 from typing import NamedTuple
 
@@ -83,10 +82,22 @@ def _block_writer(folder: str, hashes: int, seed: int):
     return run
 
 
-@lru_cache(maxsize=1)
+#: Bytes of blocks that a worker keeps between batches; further blocks are read for each batch.
+HELD_BYTES = 256 << 20
+_held: dict[str, tuple[ItemBlock, int]] = {}
+
+
 def _read_block(uri: str) -> ItemBlock:
+    if uri in _held:
+        return _held[uri][0]
+    if any(x.rpartition("/")[0] != uri.rpartition("/")[0] for x in _held):  # another query's
+        _held.clear()
     with files.open_range(uri) as f:
-        return pickle.loads(f.read())
+        raw = f.read()
+    block = pickle.loads(raw)
+    if sum(size for _, size in _held.values()) + len(raw) <= HELD_BYTES:
+        _held[uri] = block, len(raw)
+    return block
 
 
 def find_items(block: ItemBlock, part: wb.Slice, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

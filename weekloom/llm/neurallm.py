@@ -7,14 +7,18 @@ that of its class times that inside its class, each a softmax over whole rows
 of a matrix product. So the probabilities of all words after a context sum to
 one, without a sum over all units.
 
-Word counts, tail counts and training cover every training token. Each round of
-training, tasks train copies of the model on their own rows, every row in one
-round; the changes are averaged, row by row, by how often a task met the row.
+Word counts, tail counts and training cover every training token. Rows are dealt
+over shards by hash of their doc_id and text; the number of shards follows the
+training tokens alone. Each round of training, a copy of the model is trained on
+each shard's rows of the round, in the order of their hash, every row in one
+round; the changes are averaged, row by row, by how often a shard met the row.
+So the model depends on the rows, not on the files and tasks that hold them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +37,9 @@ HELD_WORDS = 65_536
 PLACES = 3
 #: Rows are dealt over rounds by these shares of eight.
 ROUNDS = (1, 2, 5)
-#: Rows of the model in one message of a task.
+#: There are (training tokens / SHARD_TOKENS) ** SHARD_POWER shards, at least one: shards grow with the corpus, and so does their number.
+SHARD_TOKENS, SHARD_POWER = 2_000_000, 0.75
+#: Rows of the model in one message of a shard.
 _BLOCK = 256
 
 
@@ -177,7 +183,7 @@ def _sums(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(row, weights=value, minlength=rows).astype(np.float64)
 
 
-ENCODED = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, held_log double, other_log double, tail_log double, units binary, rest array<long>, rest_n array<int>"
+ENCODED = "doc_id long, held_out boolean, row long, key long, n_tokens long, n_known long, held_log double, other_log double, tail_log double, units binary, rest array<long>, rest_n array<int>"
 
 
 def _encoder(v: Vocabulary):
@@ -213,8 +219,8 @@ def _encoder(v: Vocabulary):
                 units = pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(tokens)])
                 sums = [_sums(w.doc[known], logs, rows), _sums(w.doc[other], held_log[place[other]], rows), _sums(w.doc[~is_word], v.tail_log[tail[~is_word]], rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(part.first, rows) for k in (0, 2, 3)] + [pa.array(size + 1), pa.array(np.bincount(w.doc[known], minlength=rows)), *map(pa.array, sums), units, wb.list_array(rest[first], n_rest), wb.list_array(np.diff(np.r_[first, len(rest)]).astype(np.int32), n_rest)],
-                    ["doc_id", "held_out", "row", "n_tokens", "n_known", "held_log", "other_log", "tail_log", "units", "rest", "rest_n"],
+                    [batch.column(k).slice(part.first, rows) for k in (0, 2, 3, 4)] + [pa.array(size + 1), pa.array(np.bincount(w.doc[known], minlength=rows)), *map(pa.array, sums), units, wb.list_array(rest[first], n_rest), wb.list_array(np.diff(np.r_[first, len(rest)]).astype(np.int32), n_rest)],
+                    ["doc_id", "held_out", "row", "key", "n_tokens", "n_known", "held_log", "other_log", "tail_log", "units", "rest", "rest_n"],
                 )
 
     return run
@@ -246,6 +252,30 @@ def _portions(column: pa.Array, limit: int) -> Iterator[pa.Array]:
         first = last
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.Array]]]:
+    """(shard, its units) of batches (shard, units) that come sorted by shard."""
+
+    def pieces() -> Iterator[tuple[int, pa.Array]]:
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(shard)])
+            for a, b in zip(first, np.r_[first[1:], len(shard)][: len(first)], strict=True):
+                yield int(shard[a]), batch.column(1).slice(a, b - a)
+
+    for shard, group in groupby(pieces(), key=lambda x: x[0]):
+        yield shard, (units for _, units in group)
+
+
+def _steady_portions(columns: Iterator[pa.Array], limit: int) -> Iterator[pa.Array]:
+    """``_portions`` of the rows of all columns in order, wherever the columns begin and end."""
+    waiting = None
+    for column in columns:
+        *whole, waiting = _portions(column if waiting is None else pa.concat_arrays([waiting, column]), limit)
+        yield from whole
+    if waiting is not None:
+        yield waiting
+
+
 class _Step:
     """Adaptive steps on rows of a table, each row with its own pace."""
 
@@ -267,10 +297,14 @@ class _Step:
 
 
 def _trainer(model: LogBilinear, share: np.ndarray, with_classes: bool, *, noise: int, batch: int, rate: float, seed: int):
-    """Train a copy of the model on a task's rows; yields its changes in blocks of rows."""
+    """Train a copy of the model on each shard of a task's rows (shard, units); yields its changes in blocks of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.default_rng(seed)
+        for shard, columns in _by_shard(batches):
+            yield from trained_on(shard, columns)
+
+    def trained_on(shard: int, columns: Iterator[pa.Array]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng((seed, shard))
         units = len(share)
         local = LogBilinear(*(p.copy() for p in model[:4]), *model[4:])
         steps = [_Step(p, rate) for p in local[:4]]
@@ -306,59 +340,58 @@ def _trainer(model: LogBilinear, share: np.ndarray, with_classes: bool, *, noise
             return d_guess
 
         trained = False
-        for arrow in batches:
-            for portion in _portions(arrow.column(0), 1 << 19):
-                tokens, before, _ = _with_places(portion, units)
-                order = draw.permutation(len(tokens))
-                for low in range(0, len(tokens), batch):
-                    at = order[low : low + batch]
-                    true, near = tokens[at], before.take(at, axis=0)
-                    seen = local.context.take(near, axis=0)[..., :-1].reshape(len(at), -1)
-                    guess = seen @ local.places[:, :-1]
-                    d_guess = np.zeros_like(guess)
-                    whole = len(at) // noise * noise
-                    for part, shape in ((slice(0, whole), (-1, noise)), (slice(whole, len(at)), (1, -1))):
-                        if len(true[part]):
-                            mine = true[part].reshape(shape)
-                            # the tokens of the next group are the noise: draws by their frequency
-                            d_guess[part] = errors(steps[1], log_share, guess[part].reshape(*mine.shape, dims), mine, np.roll(mine, (1, 1), (0, 1))).reshape(-1, dims)
-                    if with_classes:
-                        false = np.minimum(np.searchsorted(stairs, draw.random(noise) * stairs[-1]), len(stairs) - 1).astype(np.uint16)
-                        d_guess += errors(steps[2], log_group, guess[None], local.class_of[true].astype(np.uint16)[None], false[None])[0]
-                    d_seen = (d_guess @ local.places[:, :-1].T).reshape(-1, dims)
-                    steps[0].rows(near.ravel(), d_seen)
-                    steps[3].rows(np.arange(len(local.places)), seen.T @ d_guess, len(at))
-                    trained = trained or len(at) > 0
+        for portion in _steady_portions(columns, 1 << 19):
+            tokens, before, _ = _with_places(portion, units)
+            order = draw.permutation(len(tokens))
+            for low in range(0, len(tokens), batch):
+                at = order[low : low + batch]
+                true, near = tokens[at], before.take(at, axis=0)
+                seen = local.context.take(near, axis=0)[..., :-1].reshape(len(at), -1)
+                guess = seen @ local.places[:, :-1]
+                d_guess = np.zeros_like(guess)
+                whole = len(at) // noise * noise
+                for part, shape in ((slice(0, whole), (-1, noise)), (slice(whole, len(at)), (1, -1))):
+                    if len(true[part]):
+                        mine = true[part].reshape(shape)
+                        # the tokens of the next group are the noise: draws by their frequency
+                        d_guess[part] = errors(steps[1], log_share, guess[part].reshape(*mine.shape, dims), mine, np.roll(mine, (1, 1), (0, 1))).reshape(-1, dims)
+                if with_classes:
+                    false = np.minimum(np.searchsorted(stairs, draw.random(noise) * stairs[-1]), len(stairs) - 1).astype(np.uint16)
+                    d_guess += errors(steps[2], log_group, guess[None], local.class_of[true].astype(np.uint16)[None], false[None])[0]
+                d_seen = (d_guess @ local.places[:, :-1].T).reshape(-1, dims)
+                steps[0].rows(near.ravel(), d_seen)
+                steps[3].rows(np.arange(len(local.places)), seen.T @ d_guess, len(at))
+                trained = trained or len(at) > 0
         if trained:
             change = np.vstack([new - old for new, old in zip(local[:4], model[:4], strict=True)])
             met = np.concatenate([s.met for s in steps]) + np.float32(1e-3)
             for k in range(0, len(change), _BLOCK):
-                yield _message(k // _BLOCK, change[k : k + _BLOCK] * met[k : k + _BLOCK, None], met[k : k + _BLOCK])
+                yield _message(k // _BLOCK, shard, change[k : k + _BLOCK] * met[k : k + _BLOCK, None], met[k : k + _BLOCK])
 
     return run
 
 
-_MESSAGE = "block int, change binary, met binary"
+_MESSAGE = "block int, shard int, change binary, met binary"
 
 
-def _message(block: int, change: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([change.astype(np.float32).tobytes()], pa.binary()), pa.array([met.astype(np.float32).tobytes()], pa.binary())], ["block", "change", "met"])
+def _message(block: int, shard: int, change: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([shard], pa.int32()), pa.array([change.astype(np.float32).tobytes()], pa.binary()), pa.array([met.astype(np.float32).tobytes()], pa.binary())], ["block", "shard", "change", "met"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of messages that come sorted by block, one block at a time."""
+    """Sums of messages that come sorted by block and shard, one block at a time."""
     block, change, met = None, np.zeros(0, np.float32), np.zeros(0, np.float32)
     for batch in batches:
-        for b, c, m in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for b, _, c, m in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if b != block:
                 if block is not None:
-                    yield _message(block, change, met)
+                    yield _message(block, 0, change, met)
                 block, change, met = b, np.frombuffer(c, np.float32).copy(), np.frombuffer(m, np.float32).copy()
             else:
                 change += np.frombuffer(c, np.float32)
                 met += np.frombuffer(m, np.float32)
     if block is not None:
-        yield _message(block, change, met)
+        yield _message(block, 0, change, met)
 
 
 def _classes(unit: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -390,9 +423,9 @@ def _classes(unit: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def train_model(rows: DataFrame, v: Vocabulary, *, size: int = 16, noise: int = 64, batch: int = 2048, rate: float = 0.2, passes: int = 1, seed: int = 5) -> LogBilinear:
-    """Fit the log-bilinear model to ``rows`` (row, units) with noise-contrastive estimation.
+    """Fit the log-bilinear model to ``rows`` (key, units) with noise-contrastive estimation.
 
-    Every row is trained on once in each pass. Messages of the tasks have the
+    Every row is trained on once in each pass. Messages of the shards have the
     model's size, which is bounded; they are summed in Spark by blocks of rows.
     """
     share = v.unit_tokens + 1.0
@@ -408,15 +441,17 @@ def train_model(rows: DataFrame, v: Vocabulary, *, size: int = 16, noise: int =
     class_of, members, group = _classes(unit, share)
     model = LogBilinear(table(draw.normal(0, 0.1, (n + 1, size)), np.zeros(n + 1)), unit, group, table(places, np.zeros(len(places))), class_of, members)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    turn = F.pmod(F.xxhash64("row"), F.lit(sum(ROUNDS)))
+    shards = max(1, int(np.ceil((v.tokens / SHARD_TOKENS) ** SHARD_POWER)))
+    turn = F.pmod(F.xxhash64("key"), F.lit(sum(ROUNDS)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(shards)).cast("int"))
     for k in range(passes * len(ROUNDS)):
         low = sum(ROUNDS[: k % len(ROUNDS)])
         if k == 1:  # the vectors of the first round tell which units go together
             class_of, members, group = _classes(model.unit, share)
             model = model._replace(class_of=class_of, members=members, group=group)
-        mine = rows.where((turn >= low) & (turn < low + ROUNDS[k % len(ROUNDS)])).select("units")
+        mine = dealt.where((turn >= low) & (turn < low + ROUNDS[k % len(ROUNDS)])).repartition(4 * shards, "shard").sortWithinPartitions("shard", "key").select("shard", "units")
         messages = arrow_map(mine, _trainer(model, share, k > 0, noise=noise, batch=batch, rate=rate / (1 + k), seed=seed + k), _MESSAGE)
-        total = arrow_map(messages.repartition(tasks, "block").sortWithinPartitions("block"), _summed, _MESSAGE).collect()
+        total = arrow_map(messages.repartition(tasks, "block").sortWithinPartitions("block", "shard"), _summed, _MESSAGE).collect()
         flat = np.vstack(model[:4])
         for r in total:
             met = np.frombuffer(r["met"], np.float32)
@@ -455,13 +490,13 @@ def lm_scores(docs: DataFrame, *, held_out_of: int = 7, held_out_is: int = 2, **
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held_out = F.coalesce(crc_remainder("doc_id", held_out_of) == held_out_is, F.lit(False))
     table, v = count_words(source.where(~held_out))
-    numbered = source.select("doc_id", "text", held_out.alias("held_out"), F.monotonically_increasing_id().alias("row"))
+    numbered = source.select("doc_id", "text", held_out.alias("held_out"), F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", "text").alias("key"))
     encoded = materialize(arrow_map(numbered, _encoder(v), ENCODED), "encoded")
-    model = train_model(encoded.where("not held_out").select("row", "units"), v, **training)
+    model = train_model(encoded.where("not held_out").select("key", "units"), v, **training)
     rest = encoded.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.rest_n").alias("times"))
     seen = rest.join(table, "word").groupBy("row").agg(F.sum("times").alias("rest_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest_log"))
     modelled = arrow_map(encoded.select("row", "units"), _scorer(model, v.units), "row long, model_log double")
-    out = encoded.drop("units", "rest", "rest_n").join(modelled, "row").join(seen, "row", "left").fillna(0, ["rest_known", "rest_log"])
+    out = encoded.drop("key", "units", "rest", "rest_n").join(modelled, "row").join(seen, "row", "left").fillna(0, ["rest_known", "rest_log"])
     n_end = F.lit(1 if v.ends else 0)
     base = F.col("held_log") + F.col("rest_log") + float(np.log10(v.ends + 1)) - F.col("n_tokens") * float(np.log10(v.tokens + v.types + 1))
     # A tail unit's probability is split by add-one smoothed counts of its words.

@@ -53,7 +53,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(read_table(spark, sf_dir, "documents"), licenses.TEMPLATES | licenses.installed_templates())
+    return licenses.license_scan(read_table(spark, sf_dir, "documents"), licenses.TEMPLATES | licenses.whole_templates())
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
