@@ -28,3 +28,12 @@ def open_range(uri: str):
     folder, _, name = uri.rpartition("/")
     system, path = _system(folder)
     return system.open_input_file(f"{path}/{name}")
+
+
+def listed(folder: str) -> list[str]:
+    """URIs of the Parquet files of a folder; of none if there is no such folder."""
+    system, path = _system(folder)
+    if system.get_file_info(path).type != fs.FileType.Directory:
+        return []
+    names = sorted(info.base_name for info in system.get_file_info(fs.FileSelector(path)) if info.is_file)
+    return [f"{folder}/{name}" for name in names if name.endswith(".parquet") and name[0] not in "._"]

@@ -13,7 +13,7 @@ can't reach the threshold. No bucket, partner list or candidate list is capped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,13 @@ from pyspark.sql import functions as F
 
 from weekloom.llm import wordbytes as wb
 from weekloom.llm.components import connected_components
+from weekloom.llm.places import places, without
 from weekloom.llm.tables import arrow_map, discard, materialize
 
-SKETCH = "doc_id long, text_hash long, n_shingles long, node long, left_half array<long>, right_half array<long>"
+SKETCH = "n_shingles long, node long, left_half array<long>, right_half array<long>"
 SETS = "node long, shingles array<long>"
 #: Comparisons with one central document that meet in one task's key at most, about.
 HUB_PAIRS = 64
-#: Bits of one part of the bitmap of rows that go (the size of Spark's bitmaps), bits for each such row, and parts at most (32 MB).
-MARK_BITS, MARKS_A_ROW, MARK_PARTS = 32_768, 16, 8_192
 
 
 def _nodes(value: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -63,7 +62,8 @@ def _sketches(half_tables: int, half_width: int, width: int, seed: int):
                             half = wb.mix(half + np.minimum.reduceat(hashed, start))
                         halves[full, t] = half
                 left, right = (wb.list_array(wb.signed(np.ascontiguousarray(x[full]).ravel()), np.where(size > 0, half_tables, 0)) for x in (halves[:, :half_tables], halves[:, half_tables:]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(part.first, rows) for k in (0, 1)), pa.array(size.astype(np.int64)), pa.array(node), left, right], ["doc_id", "text_hash", "n_shingles", "node", "left_half", "right_half"])
+                carried = {name: batch.column(name).slice(part.first, rows) for name in batch.schema.names if name != "text"}
+                yield pa.RecordBatch.from_pydict(carried | {"n_shingles": pa.array(size.astype(np.int64)), "node": pa.array(node), "left_half": left, "right_half": right})
 
     return run
 
@@ -82,7 +82,7 @@ def _sets(width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int = 10, half_width: int = 3, width: int = 5, seed: int = 11) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int = 10, half_width: int = 3, width: int = 5, seed: int = 11, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, text_hash, n_shingles, class_id, component_id and kept for every row of ``docs`` (doc_id, text).
 
     Words are lower-cased in A-Z. Texts are linked if
@@ -94,17 +94,19 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     Null or empty texts have no shingles, link with nothing and are kept. A
     null doc_id has a null component, links with nothing and is kept. Rows that
     repeat a doc_id and its text share one result. Unlike texts of one doc_id
-    are texts of their own, each with its own component. Other columns are
-    ignored, whatever their names. An empty table gives an empty result.
+    are texts of their own, each with its own component. Columns named in
+    ``carry``, whole numbers under names that the result has not, come back as
+    they are; others are ignored, whatever their names. An empty table gives an
+    empty result.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"), *(F.col(c).cast("long").alias(c) for c in carry))
     made: list[DataFrame] = []
 
     def save(df: DataFrame, name: str) -> DataFrame:
         made.append(materialize(df, name))
         return made[-1]
 
-    sketches = save(arrow_map(source, _sketches(half_tables, half_width, width, seed), SKETCH), "sketches")
+    sketches = save(arrow_map(source, _sketches(half_tables, half_width, width, seed), "".join(f"{c} long, " for c in ("doc_id", "text_hash", *carry)) + SKETCH), "sketches")
     # One node for each set; its first document stands for it.
     classes = save(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("class_id")), "classes")
     reps = sketches.where("n_shingles > 0").join(classes, (sketches.node == classes.node) & (F.col("doc_id") == F.col("class_id")), "left_semi").dropDuplicates(["node"])
@@ -122,7 +124,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
 
     wanted = save(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "wanted")
     wanted_docs = save(classes.join(wanted, "node").select(F.col("class_id").alias("doc_id")).distinct(), "wanted_docs")
-    found_sets = arrow_map(source.join(wanted_docs, "doc_id", "left_semi"), _sets(width), SETS)
+    found_sets = arrow_map(source.select("doc_id", "text_hash", "text").join(wanted_docs, "doc_id", "left_semi"), _sets(width), SETS)
     found_sets = found_sets.join(wanted, "node", "left_semi")
     # Only rows that repeat a doc_id and its text make a set twice; without them no set need move.
     twice = sketches.join(wanted, "node", "left_semi").join(classes.withColumnsRenamed({"node": "of", "class_id": "first"}), (F.col("node") == F.col("of")) & (F.col("doc_id") == F.col("first")), "left_semi").groupBy("node").count().where("count > 1")
@@ -172,9 +174,9 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     named = classes.join(labels, classes.node == F.col("at"), "left").select("node", "class_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("class_id").alias("least"))
     found = save(named.join(least, "label").select("node", "class_id", "least"), "found")
-    out = sketches.select("doc_id", "text_hash", "n_shingles", F.expr("if(n_shingles > 0 and doc_id is not null, node, null)").alias("node")).join(found, "node", "left")
+    out = sketches.select("doc_id", "text_hash", "n_shingles", *carry, F.expr("if(n_shingles > 0 and doc_id is not null, node, null)").alias("node")).join(found, "node", "left")
     component = F.coalesce("least", "doc_id")
-    out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *carry)
     return discard(materialize(out, "near_duplicates"), *made)
 
 
@@ -182,23 +184,10 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that ``near_duplicates`` keeps; its ``settings`` are passed on.
 
     A row goes by its doc_id and its text, so that another text of the same
-    doc_id stays. A bitmap of the rows that go, of ``MARK_PARTS`` parts of 4 KB
-    at most, is broadcast; rows whose bit is unset stay where they are, and only
-    the others move to be looked up among those that go.
+    doc_id stays. Where the rows that go stand in the source files is carried
+    with their sketches (see ``places``), so no text moves. A table that isn't a
+    plain read of Parquet files is written first.
     """
-    gone = materialize(near_duplicates(docs, **settings).where("not kept").select("doc_id", "text_hash").distinct(), "gone")
-    parts = min(MARK_PARTS, gone.count() * MARKS_A_ROW // MARK_BITS + 1)
-
-    def mark(doc_id, text_hash):
-        return F.pmod(F.xxhash64(doc_id, text_hash), F.lit(parts * MARK_BITS))
-
-    marks = gone.select(F.shiftright(mark("doc_id", "text_hash"), 15).alias("part"), mark("doc_id", "text_hash").bitwiseAND(MARK_BITS - 1).alias("bit"))
-    marks = marks.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    doc_id, text_hash = F.col("rows.doc_id").cast("long"), F.xxhash64(F.col("rows.text").cast("string"))
-    at = mark(doc_id, text_hash)
-    byte = F.substring(F.col("marks.bits"), F.shiftright(at.bitwiseAND(MARK_BITS - 1), 3).cast("int") + 1, F.lit(1))
-    marked = docs.alias("rows").join(F.broadcast(marks.alias("marks")), F.shiftright(at, 15) == F.col("marks.part"), "left")
-    unsure = F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), at.bitwiseAND(7).cast("int")) == 1, F.lit(False))
-    key = (doc_id == F.col("gone.doc_id")) & (text_hash == F.col("gone.text_hash"))
-    looked_up = marked.where(unsure).select("rows.*").alias("rows").join(gone.alias("gone"), key, "left_anti")
-    return marked.where(~unsure).select("rows.*").union(looked_up)
+    docs, file, row = places(docs)
+    found = near_duplicates(docs.select("doc_id", "text", file.alias("file"), row.alias("row")), **settings, carry=("file", "row"))
+    return without(docs, file, row, found.where("not kept"))

@@ -37,11 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weekloom-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage."""
+def materialize(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in a folder for each value of ``by`` if given, and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     table = spark.read.schema(df.schema).parquet(path)
     table._weekloom_path = path
     return table
