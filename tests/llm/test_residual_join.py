@@ -1,0 +1,54 @@
+"""Members of a star that aren't linked with its centre: links among them are found, and pairs don't grow with the square of the group."""
+
+import random
+
+from test_operators import brute_components
+
+from weekloom.llm import minhash
+
+
+def _member(base: list[str], draw: random.Random, name: str, words: int) -> list[str]:
+    """The base with a stretch of its own in place of some of its words."""
+    at = draw.randrange(len(base) - words)
+    return [*base[:at], *(f"{name}x{k}" for k in range(words)), *base[at + words :]]
+
+
+def test_links_among_unlinked_members(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HUB_PAIRS", 4)
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    texts = {k: " ".join(_member(base, draw, f"m{k}", 26)) for k in range(60)}
+    for k in range(20):  # twins of members, pieces of the base, and pieces with words of their own
+        w = texts[k].split()
+        w[draw.randrange(300)] = f"t{k}"
+        texts[100 + k] = " ".join(w)
+        texts[200 + k] = " ".join(base[k : k + 215])
+        texts[300 + k] = " ".join(_member(base[3 * k : 3 * k + 230], draw, f"p{k}", 8 + k))
+    want = brute_components(texts)
+    assert 60 < len({label for _, label in want.values()}) < 120
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), half_tables=14)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
+def test_pairs_of_a_large_star_are_linear(spark, monkeypatch):
+    """5,000 members within the bound of one centre and linked neither with it nor with each other, but for planted twins."""
+    draw = random.Random(6)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(400)]
+    texts = {0: " ".join(base)} | {k: " ".join(_member(base, draw, f"m{k}", 34)) for k in range(1, 5001)}
+    for k in range(1, 51):
+        texts[9_000 + k] = texts[k] + f" twin{k}"
+    rows = {}
+    real = minhash.materialize
+
+    def counted(df, name, **settings):
+        out = real(df, name, **settings)
+        if name in ("able", "prefixes", "rest"):
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4))
+    label = {r.doc_id: r.component_id for r in got.collect()}
+    assert label == {d: d - 9_000 if d > 9_000 else d for d in texts}
+    # A member may be in a star of each of the 100 tables; its prefix there has at most 60 of its 396 shingles.
+    assert rows["able"] > 1_000 and rows["prefixes"] <= 60 * rows["able"] and rows["rest"] < len(texts), rows

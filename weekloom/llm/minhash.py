@@ -7,8 +7,9 @@ i-th hash of the first and the j-th of the second collection, so
 
 Within a table bucket every document is compared with one central document.
 Documents of a bucket that are then in different components are compared with
-each other, except where a bound computed from full sets proves that they
-can't reach the threshold. No bucket, partner list or candidate list is capped.
+each other, except where full sets prove that they can't reach the threshold:
+by a bound, or as no prefixes of the two in an order of rare shingles meet.
+No bucket, partner list or candidate list is capped.
 """
 
 from __future__ import annotations
@@ -156,16 +157,27 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     # another is its part of the hub and the extras that others of the star have.
     named = save(members.join(labels, members.node == F.col("at"), "left").select("key", "hub", "node", F.coalesce("label", "node").alias("label")), "named")
     open_keys = save(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "open")
-    live = save(named.join(open_keys, "key", "left_semi").where("hub <> node"), "live")
+    live = save(named.join(open_keys, "key", "left_semi").where("hub <> node").select("hub", "node", "label").distinct(), "live")
     extras = save(met.join(each_part(live.select(F.col("hub").alias("a")).distinct().join(parts, "a")), ["a", "part"], "left_semi").select("a", "b", F.explode("extra").alias("token")), "extras")
-    common = save(extras.groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1").select("a", "token"), "common_extras")
-    shares = extras.join(common, ["a", "token"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    reach = save(met.select("a", "b", "common", "size_b").join(shares, ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("size_b").alias("size"), (F.col("common") + F.coalesce("shared", F.lit(0))).alias("most")).where(f"100 * most >= {int(threshold)} * size"), "reach")
-    able = save(live.join(reach, ["hub", "node"]).select("key", "node", "label", "size", "most"), "able")
-    # A pair meets in the smallest of the keys that it shares, and only there.
-    able = save(able.join(able.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "able_keys")
-    x, y = able.alias("x"), able.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * least(x.most, y.most) >= {int(threshold)} * (x.size + y.size - least(x.most, y.most))") & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))"))
+    common = save(extras.groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1"), "common_extras")
+    shares = save(extras.join(common, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared")), "shares")
+    shared = F.greatest(F.size("shared"), F.lit(0))
+    reach = met.select("a", "b", "common", "size_b").join(shares, ["a", "b"], "left")
+    reach = reach.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("size_b").alias("size"), (F.col("common") + shared).alias("most"), (F.col("size_b") - F.col("common")).alias("own"), (F.col("size_b") - F.col("common") - shared).alias("alone"), "shared")
+    able = live.join(reach.where(f"100 * most >= {int(threshold)} * size"), ["hub", "node"])
+    # Of two linked sets in one order of words, a prefix of the larger shares a shingle with a
+    # shorter prefix of the smaller. The order of a star: rare extras, frequent ones, its hub's.
+    able = save(able.withColumns({"long": F.expr(f"size - ({int(threshold)} * size + 99) div 100 + 1"), "short": F.expr(f"size - ({2 * int(threshold)} * size + {99 + int(threshold)}) div {100 + int(threshold)} + 1")}), "able")
+    columns = ["hub", "node", "label", "size", "most", "long", "short"]
+    of_extras = able.select(*columns, "alone", F.posexplode_outer("shared").alias("at", "one")).where("one is not null").select(*columns, (F.col("alone") + F.col("at")).alias("at"), "one.token")
+    into_hub = able.where("own < long").join(met.select(F.col("a").alias("hub"), F.col("b").alias("node"), "extra"), ["hub", "node"]).join(sets, "node")
+    of_hub = into_hub.select(*columns, "own", F.posexplode(F.slice(F.sort_array(F.array_except("shingles", "extra")), F.lit(1), F.expr("cast(long - own as int)"))).alias("at", "token")).select(*columns, (F.col("own") + F.col("at")).alias("at"), "token")
+    prefixes = save(of_extras.union(of_hub).where("at < long"), "prefixes")
+    dealt = save(prefixes.where("at < short").groupBy("hub", "token").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("long").alias("parts")), "dealt")
+    prefixes = prefixes.join(dealt, ["hub", "token"])
+    x = prefixes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).alias("x")
+    y = prefixes.where("at < short").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).alias("y")
+    rest = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("hub", "token", "part")] + [F.col("x.label") != F.col("y.label"), F.expr("(x.size, x.node) > (y.size, y.node)"), F.expr(f"100 * y.size >= {int(threshold)} * x.size"), F.expr(f"100 * least(x.most, y.most) >= {int(threshold)} * (x.size + y.size - least(x.most, y.most))")])
     rest = save(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "rest")
     more = compared(rest, parts_of(rest)).where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     links = save(links.union(more).distinct(), "links")
