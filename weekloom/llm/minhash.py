@@ -153,19 +153,25 @@ def near_duplicates(docs: DataFrame, *, threshold: int = 85, half_tables: int =
     labels = connected_components(links).withColumnRenamed("node", "at")
 
     # Buckets that still hold several components: what a member can share with
-    # another is its part of the hub and the extras that others of the star have.
+    # one of another component is its part of the hub and the extras that members
+    # of other components have. What only one component shares, links nothing.
     named = save(members.join(labels, members.node == F.col("at"), "left").select("key", "hub", "node", F.coalesce("label", "node").alias("label")), "named")
     open_keys = save(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "open")
     live = save(named.join(open_keys, "key", "left_semi").where("hub <> node"), "live")
-    extras = save(met.join(each_part(live.select(F.col("hub").alias("a")).distinct().join(parts, "a")), ["a", "part"], "left_semi").select("a", "b", F.explode("extra").alias("token")), "extras")
-    common = save(extras.groupBy("a", "token").agg(F.count("*").alias("n")).where("n > 1").select("a", "token"), "common_extras")
-    shares = extras.join(common, ["a", "token"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    reach = save(met.select("a", "b", "common", "size_b").join(shares, ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("size_b").alias("size"), (F.col("common") + F.coalesce("shared", F.lit(0))).alias("most")).where(f"100 * most >= {int(threshold)} * size"), "reach")
-    able = save(live.join(reach, ["hub", "node"]).select("key", "node", "label", "size", "most"), "able")
+    sides = live.select(F.col("hub").alias("a"), F.col("node").alias("b"), "label").distinct()
+    # Holders of an extra are listed by part, so that a row stands for all of a part's.
+    extras = met.join(sides, ["a", "b"]).select("a", "part", "b", "label", F.explode("extra").alias("token"))
+    holders = save(extras.groupBy("a", "part", "token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.collect_list("b").alias("held_by")), "holders")
+    common = save(holders.groupBy("a", "token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("a", "token"), "common_extras")
+    shares = holders.select("a", "token", "held_by").join(common, ["a", "token"]).select("a", F.explode("held_by").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    reach = met.select("a", "b", "common", "size_b").join(shares, ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("size_b").alias("size"), "common", F.coalesce("shared", F.lit(0)).alias("shared"))
+    reach = save(reach.where(f"100 * (common + shared) >= {int(threshold)} * size"), "reach")
+    able = save(live.join(reach, ["hub", "node"]).select("key", "node", "label", "size", "common", "shared"), "able")
     # A pair meets in the smallest of the keys that it shares, and only there.
     able = save(able.join(able.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "able_keys")
     x, y = able.alias("x"), able.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * least(x.most, y.most) >= {int(threshold)} * (x.size + y.size - least(x.most, y.most))") & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))"))
+    most = "(least(x.common, y.common) + least(x.shared, y.shared))"
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * {most} >= {int(threshold)} * (x.size + y.size - {most})") & F.expr("x.key = array_min(array_intersect(x.keys, y.keys))"))
     rest = save(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "rest")
     more = compared(rest, parts_of(rest)).where(close).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     links = save(links.union(more).distinct(), "links")
