@@ -78,31 +78,29 @@ class LogBilinear(NamedTuple):
     class_of: np.ndarray
     members: np.ndarray
 
-    def guess(self, before: np.ndarray) -> np.ndarray:
-        return self.context.take(before, axis=0)[..., :-1].reshape(len(before), -1) @ self.places[:, :-1]
-
     def log_probabilities(self, before: np.ndarray, units: np.ndarray, block: int = 1 << 15) -> np.ndarray:
         """log10 of the probability of each unit after the units ``before`` it (nearest first), by matrix products for each class."""
         out = np.zeros(len(units))
         padded = np.vstack([self.unit, np.r_[np.zeros(self.unit.shape[1] - 1), -1e30].astype(np.float32)])
+        vectors, places = (np.ascontiguousarray(x[:, :-1]) for x in (self.context, self.places))
+        group = np.ascontiguousarray(self.group.T)
         for low in range(0, len(units), block):
             mine = units[low : low + block]
-            guess = self.guess(before[low : low + block])
-            kind = self.class_of[mine]
+            # A last column of ones meets the biases.
+            guess = np.ones((len(mine), self.unit.shape[1]), self.unit.dtype)
+            guess[:, :-1] = vectors.take(before[low : low + block], axis=0).reshape(len(mine), -1) @ places
+            kind = self.class_of[mine].astype(np.uint16)  # which numpy sorts by radix
             total = np.empty(len(mine))
-            for a in range(0, len(mine), 4096):  # as many as a core's cache holds
-                here = slice(a, a + 4096)
-                score = guess[here] @ self.group[:, :-1].T
-                score += self.group[:, -1]
+            for a in range(0, len(mine), 1024):  # as many as a core's cache holds
+                here = slice(a, a + 1024)
+                score = guess[here] @ group
                 total[here] = score[np.arange(len(score)), kind[here]]
                 total[here] -= _log_sum(score)
             order = np.argsort(kind, kind="stable")
             edge = np.searchsorted(kind[order], np.arange(len(self.group) + 1))
             for c in np.flatnonzero(np.diff(edge)):
                 at = order[edge[c] : edge[c + 1]]
-                rows = padded[self.members[c]]
-                score = guess.take(at, axis=0) @ rows[:, :-1].T
-                score += rows[:, -1]
+                score = guess.take(at, axis=0) @ padded[self.members[c]].T
                 place = np.searchsorted(self.members[c], mine[at])
                 total[at] += score[np.arange(len(at)), place]
                 total[at] -= _log_sum(score)
@@ -111,11 +109,16 @@ class LogBilinear(NamedTuple):
 
 
 def _log_sum(score: np.ndarray) -> np.ndarray:
-    """Logs of the sums of exponentials of rows; overwrites the scores."""
-    top = score.max(axis=1, keepdims=True)
-    score -= top
+    """Logs of the sums of exponentials of rows; overwrites the scores. Only rows that might leave the range of floats are shifted by their largest score."""
+    some = score[:, :8].max(axis=1)
+    if score.max() < 60 and some.min() > -60:
+        np.exp(score, out=score)
+        return np.log(score @ np.ones(score.shape[1], score.dtype))
+    top = score.max(axis=1)
+    top[(top < 60) & (some > -60)] = 0
+    score -= top[:, None]
     np.exp(score, out=score)
-    return np.log(score.sum(axis=1)) + top[:, 0]
+    return np.log(score @ np.ones(score.shape[1], score.dtype)) + top
 
 
 def _tails(part: wb.Slice, w: wb.Words) -> np.ndarray:
