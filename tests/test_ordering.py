@@ -48,6 +48,17 @@ def test_matches_with_tied_scores_equal_brute_force(spark):
     assert sorted((r.treated, r.control) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("stratum", [None, "st"])
+def test_decimal_scores_at_equal_distances_match_the_smaller(spark, stratum):
+    """Both controls lie at 0.08, 0.77 and 1.53; in floats the larger is nearer by the last bits."""
+    near = [(1210.68, 1210.6, 1210.76), (5966.92, 5966.15, 5967.69), (5336.64, 5335.11, 5338.17)]
+    assert all(high - s < s - low for s, low, high in near)
+    a = spark.createDataFrame([(k, s, "x") for k, (s, _, _) in enumerate(near)], "k long, s double, st string")
+    b = spark.createDataFrame([(10 * side + k, row[side], "x") for k, row in enumerate(near) for side in (1, 2)], "k long, s double, st string")
+    got = causal.nearest_match(a, b, key="k", score="s", stratum=stratum, buckets=4)
+    assert sorted((r.treated, r.control) for r in got.collect()) == [(0, 10), (1, 11), (2, 12)]
+
+
 def test_standardize_treats_columns_alone(spark):
     df = spark.createDataFrame([(1.0, 7.0), (2.0, 7.0), (None, 7.0), (4.0, 7.0), (50.0, None)], "a double, b double")
     both = [(r.a, r.b) for r in panel.standardize_cols(df, ["a", "b"]).collect()]

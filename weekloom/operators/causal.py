@@ -38,10 +38,11 @@ def pre_features(window: DataFrame, *, entity: str = "public_id", value: str = "
     return window.where("event_time < 0").groupBy(entity).agg(F.count(s).alias("n"), F.avg(s).alias("pre_mean"), F.stddev_pop(s).alias("pre_std"), slope(s, c("event_time")).alias("pre_slope")).where(c("n") >= least)
 
 
-def nearest_match(treated: DataFrame, control: DataFrame, *, key: str, score: str, stratum: str | None = None, caliper: float | None = None, buckets: int | None = None) -> DataFrame:
+def nearest_match(treated: DataFrame, control: DataFrame, *, key: str, score: str, stratum: str | None = None, caliper: float | None = None, digits: int = 6, buckets: int | None = None) -> DataFrame:
     """For each treated row the control with the nearest score, with replacement; ties go to the smaller score, then id.
 
-    Equal scores of a stratum are one point, with its smallest control; points
+    The distances to either side tie if they are equal at ``digits`` decimals,
+    since differences of decimal scores aren't exact in floats. Equal scores of a stratum are one point, with its smallest control; points
     are ordered inside buckets of scores. A bucket hands its last and first
     control on to the buckets around it through a table of a row for each
     bucket, so no task sorts all scores. Rows without an id or score, or with a
@@ -61,7 +62,7 @@ def nearest_match(treated: DataFrame, control: DataFrame, *, key: str, score: st
     met = points.withColumns({"l": F.max("here").over(w.rowsBetween(Window.unboundedPreceding, 0)), "r": F.min("here").over(w.rowsBetween(0, Window.unboundedFollowing))}).where("t").join(grid, ["_st", "_b"])
     met = met.select("_st", "s", F.coalesce("l", "from_left").alias("l"), F.coalesce("r", "from_right").alias("r"))
     dl, dr = c("s") - c("l.s"), c("r.s") - c("s")
-    use_left = dl.isNotNull() & (dr.isNull() | (dl <= dr))
+    use_left = dl.isNotNull() & (dr.isNull() | (F.round(dl, digits) <= F.round(dr, digits)))
     met = met.select("_st", "s", F.when(use_left, c("l.id")).otherwise(c("r.id")).alias("control"), F.when(use_left, dl).otherwise(dr).alias("distance")).where("control IS NOT NULL")
     out = a.join(met, ["_st", "s"]).select(c("id").alias("treated"), "control", "distance")
     return out if caliper is None else out.where(c("distance") < caliper)
