@@ -31,6 +31,7 @@ def passes(spark, monkeypatch, tmp_path):
     ("name", "most"),
     [
         ("model_score_new", 1),
+        ("model_score_weeks", 2),  # the fit, and the weeks that it scores
     ],
 )
 def test_weeks_are_read_once(spark, passes, name, most):
