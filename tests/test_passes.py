@@ -34,6 +34,7 @@ def passes(spark, monkeypatch, tmp_path):
         ("model_score_weeks", 2),  # the fit, and the weeks that it scores
         ("psm_score", 1),
         ("model_ablation", 1),
+        ("es_controlled_profile", 1),
     ],
 )
 def test_weeks_are_read_once(spark, passes, name, most):

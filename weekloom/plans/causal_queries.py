@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from weekloom.operators import causal as op
 from weekloom.operators import survival
-from weekloom.operators.panel import standardize_cols
+from weekloom.operators.panel import build_panel, standardize_cols
 from weekloom.operators.regression import controlled_profile, factor_regression, logit_groups
 from weekloom.plans.binding import panel, query, slope_sql
 from weekloom.plans.district_queries import _FE
 from weekloom.plans.label_queries import _CU, customers
-from weekloom.sources.tables import read_table
+from weekloom.sources.tables import discard, meta, read_table, weekly, written
 
 c = F.col
 _GC = """g0 AS (SELECT public_id, week_idx, sales_card, sales_card_mm, customer, customer_new, coalesce(customer_new / nullif(customer, 0)::DOUBLE, 0) AS nc, row_number() OVER (PARTITION BY public_id ORDER BY week_idx) - 1 AS pos FROM panel),
@@ -104,9 +104,17 @@ def _(s, d):
 
 
 def linked_events(s, d):
-    """Weeks around each entity's strongest rise, in two groups: with and without a delivery link."""
-    p = panel(s, d)
-    return op.event_window(p, op.detect_rise(p).select("public_id", "gc_week")).withColumn("grp", c("public_id").cast("long") % 2)
+    """Weeks around each entity's strongest rise, in two groups: with and without a delivery link.
+
+    The panel is written once for the rise, its cut and the window, and goes; the
+    window, 16 weeks of an entity at most, stays for the fit and its profile.
+    """
+    p = written(build_panel(weekly(s, d)).select("public_id", "week_idx", "sales_card_mm", "customer", "customer_new"), "panel")
+    events = op.detect_rise(p).select("public_id", "gc_week").join(meta(s, d).select("public_id", "sigungu", "category"), "public_id", "left")
+    rows = op.event_window(p, events).select("event_time", (c("public_id").cast("long") % 2).alias("grp"), "sales_card_mm", "sigungu", "category")
+    rows = written(rows, "events")
+    discard(p)
+    return rows
 
 
 @query("es_controlled")
